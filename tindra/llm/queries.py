@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tindra.llm import canonical, encoding
+from pyspark.sql import functions as F
+
+from tindra.llm import canonical, encoding, mojibake
 from tindra.tables import load
 
 
+def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_table, record_id, original, restored, mappings, restorable) of each garbled title."""
+    titles = (("jobs", "job_id", "job_title"), ("activities", "activity_id", "title"))
+    tables = {name: load(spark, folder, name) for name, _, _ in titles}
+    model = mojibake.fit([tables[name].select(c) for name, _, text in titles for c in (text, "description")])
+    parts = [mojibake.find_garbled(tables[name], key, text, model).withColumnRenamed(key, "record_id").select(F.lit(name).alias("source_table"), "*") for name, key, text in titles]
+    return parts[0].unionByName(parts[1]).dropDuplicates(["source_table", "record_id"])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_restored(spark, folder).select("source_table", "record_id")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(load(spark, folder, "documents"), "doc_id", "text")
 
@@ -20,6 +35,6 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.canonical_forms(load(spark, folder, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
-QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
 
 SQL: dict[str, str] = {}
