@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tindra.llm import canonical, encoding, mojibake
+from tindra.llm import addresses, canonical, encoding, mojibake
 from tindra.tables import load
 
 
@@ -23,6 +23,37 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_restored(spark, folder).select("source_table", "record_id")
 
 
+def _address_records(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, address, code, town, municipality) of the three address fields."""
+    registry = load(spark, folder, "registry")
+    business = registry.select(
+        F.concat(F.lit("b:"), "organisation_number").alias("record_id"),
+        F.col("business_address.adresse").alias("address"),
+        F.col("business_address.postnummer").alias("code"),
+        F.col("business_address.poststed").alias("town"),
+        F.col("business_address.kommune").alias("municipality"),
+    )
+    postal = registry.select(
+        F.concat(F.lit("p:"), "organisation_number").alias("record_id"),
+        F.col("postal_address.adresse").alias("address"),
+        F.col("postal_address.postnummer").alias("code"),
+        F.col("postal_address.poststed").alias("town"),
+        F.lit(None).cast("string").alias("municipality"),
+    )
+    none = F.lit(None).cast("string")
+    jobs = load(spark, folder, "jobs").select(F.concat(F.lit("j:"), "job_id").alias("record_id"), F.col("location").alias("address"), none.alias("code"), none.alias("town"), none.alias("municipality"))
+    return business.unionByName(postal).unionByName(jobs)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.same_place_pairs(_address_records(spark, folder), load(spark, folder, "postal_places"))
+
+
+def p5_places(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, place_id) of each record that names a place."""
+    return addresses.places_of(_address_records(spark, folder), load(spark, folder, "postal_places"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(load(spark, folder, "documents"), "doc_id", "text")
 
@@ -35,6 +66,6 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.canonical_forms(load(spark, folder, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_places": p5_places, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
 
 SQL: dict[str, str] = {}
