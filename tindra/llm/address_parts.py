@@ -45,7 +45,7 @@ _FOLD = str.maketrans({"å": "a", "ø": "o", "æ": "a", "ä": "a", "ö": "o", "
 _BOX = re.compile(r"\b(?:postboks|post ?box|p\.? ?o\.? ?(?:box|boks)|p\.? ?b|boks|box)\b\.?,? *(?:nr\.?|no\.?)? *(\d{1,5})\b")
 _NOISE = [
     re.compile(r"\bc ?/ ?o\b[^,\d]*(?:,|$)"),
-    re.compile(r"\b(?:v/|att:?|attn:?)[^,\d]*(?:,|$)"),
+    re.compile(r"\b(?:v/|attn?\b)[^,\d]*(?:,|$)"),
     re.compile(r"\b[hulk] ?\d{4}\b"),
     re.compile(r"\b\d{1,2}\.? ?(?:etg|etasje|etage|floor|et)\b\.?"),
     re.compile(r"\b(?:plan|etg|etasje|floor|oppgang|inngang)\b\.? ?\d{1,2}\b"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tindra.llm import addresses, canonical, encoding, mojibake
+from tindra.llm import addresses, canonical, encoding, entities, mojibake
 from tindra.tables import load
 
 
@@ -54,6 +54,21 @@ def p5_places(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.places_of(_address_records(spark, folder), load(spark, folder, "postal_places"))
 
 
+def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """(candidate_id, organisation_number, confidence) of each candidate's pairs that are likelier than not."""
+    said = F.col("identity_evidence")
+    pages = load(spark, folder, "candidates").select(
+        F.col("candidate_id").alias("page"), "url", said["page_title"].alias("title"), said["place"].alias("place"), said["trade"].alias("trade"), said["staff_hint"].alias("staff")
+    )
+    companies = load(spark, folder, "fresh_companies").select(F.col("organisation_number").alias("company"), "name", "municipality", F.col("industry_label").alias("industry"), "employees")
+    found = entities.match(pages, companies, load(spark, folder, "postal_places"))
+    return found.where("confidence >= 0.5").select(F.col("page").alias("candidate_id"), F.col("company").alias("organisation_number"), "confidence")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_matches(spark, folder).select("candidate_id", "organisation_number")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(load(spark, folder, "documents"), "doc_id", "text")
 
@@ -66,6 +81,6 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.canonical_forms(load(spark, folder, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_places": p5_places, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
 
 SQL: dict[str, str] = {}
