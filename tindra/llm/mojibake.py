@@ -22,7 +22,9 @@ are still restored.
 
 from __future__ import annotations
 
+import base64
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -278,13 +280,35 @@ def _candidates(run: str) -> Iterator[tuple[str, int, list[str], dict[str, str]
                 yield text, n, [f"{true} read as {wrong}"], swap
 
 
+_SHIFTED = re.compile(r"\+([A-Za-z0-9/]{3,})-?")
+
+
+def _from_utf7(text: str, model: PairModel, threshold: float, margin: float) -> tuple[str, list[str]]:
+    """UTF-7 that was read as ASCII, undone in improbable stretches where that makes the text more probable."""
+    undone: list[str] = []
+    for found in reversed(list(_SHIFTED.finditer(text))):
+        a, b = found.span()
+        try:
+            meant = base64.b64decode(found[1] + "=" * (-len(found[1]) % 4)).decode("utf-16-be")
+        except ValueError:
+            continue
+        if not meant or meant.isascii() or not meant.isprintable():
+            continue
+        left, right = ("\n" + text)[a], (text + "\n")[b]
+        improbable = model.association(symbols(left + text[a:b] + right)).min() < threshold
+        if improbable and model.log_probability(left + meant + right) - model.log_probability(left + text[a:b] + right) > margin:
+            text = text[:a] + meant + text[b:]
+            undone.append("utf_7 read as ascii")
+    return text, undone
+
+
 def restore(text: str, model: PairModel, threshold: float = -8.0, margin: float = 2.0) -> tuple[str, list[str]]:
     """The restored text and the mappings undone; an empty list where nothing is.
 
     Runs are restored from right to left, each by the mapping that gains most; a
     second pass sees the restored neighbours.
     """
-    undone: list[str] = []
+    text, undone = _from_utf7(text, model, threshold, margin) if "+" in text else (text, [])
     for _ in range(2):
         changed = False
         s = symbols("\n" + text + "\n")
@@ -329,7 +353,7 @@ def find_garbled(df: DataFrame, key: str, text: str, model: PairModel, threshold
     ``restorable`` is false where a character was lost for good.
     """
     shared = df.sparkSession.sparkContext.broadcast((model.pairs, model.frequency))
-    rows = df.select(F.col(key), F.col(text).alias("original")).where(F.col("original").rlike(r"[^\x00-\x7e]"))
+    rows = df.select(F.col(key), F.col(text).alias("original")).where(F.col("original").rlike(r"[^\x00-\x7e]|\+[A-Za-z0-9/]{3}"))
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, original string, restored string, mappings array<string>, restorable boolean"
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -344,7 +368,7 @@ def find_garbled(df: DataFrame, key: str, text: str, model: PairModel, threshold
         for frame in frames:
             values = frame["original"].tolist()
             new = [v for v in dict.fromkeys(values) if v not in known]
-            odd = set(improbable(new, own, threshold))
+            odd = set(improbable(new, own, threshold)) | {v for v in new if _SHIFTED.search(v)}
             known = {v: known[v] for v in dict.fromkeys(values) if v in known} | {v: judge(v) if v in odd else None for v in new}
             hit = [v for v in values if known[v]]
             at = [k for k, v in enumerate(values) if known[v]]

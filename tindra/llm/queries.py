@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tindra.llm import addresses, canonical, encoding, entities, mojibake
+from tindra.llm import addresses, boilerplate, canonical, encoding, entities, mojibake
 from tindra.tables import load
 
 
@@ -23,6 +23,25 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_restored(spark, folder).select("source_table", "record_id")
 
 
+def p2_content(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_table, record_id, field, line_no, line) of every line with main content."""
+    pages, activities = load(spark, folder, "fetch_results"), load(spark, folder, "activities")
+    models = boilerplate.train(boilerplate.training_pages(pages, "fetch_id", "url", "body"))
+    parts = [
+        boilerplate.extract(df, key, field, kind, models, url).select(F.lit(table).alias("source_table"), "record_id", F.lit(field).alias("field"), "line_no", "line")
+        for df, table, key, field, kind, url in (
+            (pages, "fetch_results", "fetch_id", "body", "page", "url"),
+            (activities, "activities", "activity_id", "title", "title", None),
+            (activities, "activities", "activity_id", "description", "lines", None),
+        )
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_content(spark, folder).drop("line")
+
+
 def _address_records(spark: SparkSession, folder: str) -> DataFrame:
     """(record_id, address, code, town, municipality) of the three address fields."""
     registry = load(spark, folder, "registry")
@@ -81,6 +100,6 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.canonical_forms(load(spark, folder, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_content": p2_content, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
 
 SQL: dict[str, str] = {}
