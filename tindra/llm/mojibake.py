@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tindra.session import checkpoint
+
 #: Least relative frequency of a pair that is told from an unseen one.
 RAREST = 5e-7
 # Encodings that texts were read with, and those that they were written in.
@@ -119,16 +121,10 @@ class PairModel:
 
 def fit(texts: list[DataFrame]) -> PairModel:
     """The pair model of all rows of the given one-column frames.  Runs a job; brings at most 1 / RAREST pairs to the driver."""
-    counts = pair_counts(texts)
-    share = F.col("n") / F.sum("n").over(_whole())
-    rows = counts.withColumn("f", share).where(F.col("f") >= RAREST).select("pair", "f").toPandas()
-    return PairModel(rows["pair"].to_numpy(np.int64), rows["f"].to_numpy(np.float64))
-
-
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
+    counts = checkpoint(pair_counts(texts))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    rows = counts.where(F.col("n") >= RAREST * total).select("pair", "n").toPandas()
+    return PairModel(rows["pair"].to_numpy(np.int64), rows["n"].to_numpy(np.float64) / total)
 
 
 def segments(scores: list[float]) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tindra.llm import addresses, boilerplate, canonical, encoding, entities, mojibake
+from tindra.llm import addresses, boilerplate, canonical, encoding, entities, mixing, mojibake
 from tindra.tables import load
 
 
@@ -92,6 +92,17 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(load(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each source with a target: tokens available and used, and the share reached."""
+    targets = load(spark, folder, "mix_targets")
+    return mixing.shares(mixing.mix(load(spark, folder, "documents"), targets), targets)
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, tokens, rate, copies) of every document."""
+    return mixing.mix(load(spark, folder, "documents"), load(spark, folder, "mix_targets")).drop("p")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.look_alike_pairs(load(spark, folder, "documents"), "doc_id", "text")
 
@@ -100,6 +111,6 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.canonical_forms(load(spark, folder, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_content": p2_content, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_content": p2_content, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
 
 SQL: dict[str, str] = {}
