@@ -37,8 +37,9 @@ def domain_candidates(companies: DataFrame, key: str, name: str, municipality: s
         for ending in endings[: 2 if tier == 1 else 1]:
             options.append(entry(tier, F.when(F.length(stem).between(3, 40), F.concat(F.lit("https://"), stem, F.lit("." + ending)))))
     found = F.filter(F.array(*options), lambda x: x["url"].isNotNull())
-    keep = F.filter(found, lambda x, k: F.array_position(F.transform(found, lambda y: y["url"]), x["url"]) == k + 1)
-    rows = companies.where(F.size(words) > 0).select(F.col(key), F.posexplode(F.slice(keep, 1, most)).alias("place", "c"))
+    rows = companies.where(F.size(words) > 0).select(F.col(key), found.alias("_c")).withColumn("_u", F.transform("_c", lambda x: x["url"]))
+    keep = F.filter("_c", lambda x, k: F.array_position(F.col("_u"), x["url"]) == k + 1)
+    rows = rows.select(F.col(key), F.posexplode(F.slice(keep, 1, most)).alias("place", "c"))
     return rows.select(key, "c.url", "c.tier", (F.col("place") + 1).alias("place"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tindra.functions.hashing import rank_key
+from tindra.session import checkpoint
 
 
 def bottom_k(df: DataFrame, key: str, k: int, seed: str) -> DataFrame:
@@ -67,16 +68,21 @@ def one_per_group(df: DataFrame, key: str, group: str, n: int, seed: str, used:
     return first.select(group, f"_m.{key}", "_m.rank_hash").orderBy("rank_hash", key).limit(n)
 
 
-def every_step(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """Every ``count div n``-th row in order, ``n`` rows at most, with ``position`` from 0.
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``position`` from 0 in the given order, which has to be total.
 
-    Places come from ranges of the sorted frame, so no task sees all rows.
+    Rows are placed in ranges and checkpointed; a row's position is its place in its
+    range and the sizes of the ranges before, so no task sees all rows.
     """
-    spark = df.sparkSession
-    ordered = df.orderBy(*order)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    schema = df.schema.add("position", "long")
-    rows = spark.createDataFrame(numbered, schema)
-    total = df.agg(F.floor(F.count("*") / n).alias("_step"))
-    step = F.greatest("_step", F.lit(1))
-    return rows.crossJoin(F.broadcast(total)).where((F.col("position") % step == 0) & (F.col("position") < step * n)).drop("_step")  # one row
+    ranged = checkpoint(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn("position", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
+def every_step(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """Every ``count div n``-th row in order, ``n`` rows at most, with ``position`` from 0."""
+    total = df.agg(F.greatest(F.floor(F.count("*") / n), F.lit(1)).alias("_step"))
+    rows = numbered(df, order).crossJoin(F.broadcast(total))  # one row
+    return rows.where((F.col("position") % F.col("_step") == 0) & (F.col("position") < F.col("_step") * n)).drop("_step")
