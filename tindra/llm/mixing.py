@@ -106,7 +106,7 @@ def fit_rates(documents: DataFrame, plan: list[tuple[str, float, float]], total:
     rate = F.col("start")
     steps: list[np.ndarray] = []
     residual = np.zeros(2 * n)
-    for _ in range(rounds):
+    for _ in range(rounds if n else 0):
         sums = rows.select("tokens", "p", "k", rate.alias("r")).agg(
             *(F.sum(F.col("r") * F.col("tokens") * F.col("p")[j]).alias(f"e{j}") for j in range(n)),
             *(F.sum(F.when(F.col("k") == j, F.col("r") * F.col("tokens"))).alias(f"h{j}") for j in range(n)),

@@ -368,6 +368,8 @@ def find_garbled(df: DataFrame, key: str, text: str, model: PairModel, threshold
             known = {v: known[v] for v in dict.fromkeys(values) if v in known} | {v: judge(v) if v in odd else None for v in new}
             hit = [v for v in values if known[v]]
             at = [k for k, v in enumerate(values) if known[v]]
+            if not at:
+                continue
             yield pd.DataFrame({key: frame[key].iloc[at].to_numpy(), "original": hit, "restored": [known[v][0] for v in hit], "mappings": [known[v][1] for v in hit], "restorable": [known[v][2] for v in hit]})
 
     return rows.mapInPandas(search, schema)
