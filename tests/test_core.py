@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tindra.functions import text, urls
-from tindra.operators import aggregates, candidates, evidence, extract, history, identity, lookup, ranking, sampling
-from tindra.plans import screen
+from tindra.operators import aggregates, candidates, evidence, extract, history, identity, lookup, ranking, sampling, synthesis
+from tindra.plans import screen, workspace
 from tindra.sources import bulk
 
 
@@ -165,3 +165,37 @@ def test_content_store_and_references(spark):
     bodies = spark.createDataFrame([("x", "page"), ("x", "page"), ("y", "page"), (None, "page")], "body string, kind string")
     once = evidence.store_bodies(bodies.limit(2), "body", "kind")
     assert sorted((r.body, r.is_new) for r in evidence.store_bodies(bodies, "body", "kind", once).collect()) == [("x", False), ("y", True)]
+
+
+def test_phrases_and_rules(spark):
+    df = spark.createDataFrame([("a b c", "b c"), ("a b c", "c d"), ("a", "a b"), ("a", ""), ("", "")], "t string, p string")
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    assert [r[0] for r in df.select(text.has_phrase(split(F.col("t")), split(F.col("p")))).collect()] == [True, False, False, False, False]
+    assert [r[0] for r in df.select(text.first_rule([("x", "B C"), ("y", "a")], F.col("t"))).collect()] == ["x", "x", "y", "y", None]
+
+
+def test_best_of(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, None), ("b", 9, None)], "k string, o int, s int")
+    assert {(r.k, r.o) for r in ranking.best_of(df, ["k"], F.col("s"), [F.col("o")]).collect()} == {("a", 1), ("b", 9)}
+
+
+def test_publication_day_and_search(spark):
+    rows = [('<meta property="article:published_time" content="2026-01-02T00:00">', "u"), ('{"datePublished": "2026-01-03"}', "u"), ('<time datetime="2026-01-04">', "u"), ("", "https://a.no/2026/01/05/x"), ("on 2026-01-06 and 2026-01-06", "u"), ("2026-01-06 2026-01-07", "u"), (None, None)]
+    df = spark.createDataFrame(rows, "h string, u string")
+    assert [r[0] for r in df.select(extract.publication_day(F.col("h"), F.col("u"))).collect()] == ["2026-01-02", "2026-01-03", "2026-01-04", "2026-01-05", "2026-01-06", None, None]
+    found = spark.createDataFrame([(1, '{"web": {"results": [{"url": "u1", "title": "t"}, {"title": "x"}, {"url": "u2"}]}}'), (2, "broken"), (3, None)], "k int, b string")
+    assert [(r.rank, r.url) for r in extract.search_results(found, "k", "b").collect()] == [(1, "u1"), (3, "u2")]
+
+
+def test_questions():
+    assert synthesis.topics_of("What is the revenue?") == ["financials"] and synthesis.topics_of("employee sentiment") is None and len(synthesis.topics_of("hello")) == len(synthesis.TOPICS)
+
+
+def test_workspace(tmp_path):
+    path = str(tmp_path / "w.json")
+    (tmp_path / "w.json").write_text("{broken")
+    w = workspace.load(path)
+    for k in range(105):
+        w = workspace.record(w, f"q{k}", ["b", "a"], pin=k == 0)
+    workspace.save(path, w)
+    assert workspace.load(path)["pins"] == ["a", "b"] and len(workspace.load(path)["history"]) == 100

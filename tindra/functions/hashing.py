@@ -23,3 +23,9 @@ def rank_key(seed: str, c: Column) -> Column:
 def set_hash(c: Column) -> Column:
     """Aggregate: SHA-256 over the distinct values in order, one a line; collects the set, so it is for keys of samples."""
     return F.sha2(F.array_join(F.array_sort(F.collect_set(c.cast("string"))), "\n"), 256)
+
+
+def sequence_hash(c: Column, place: Column) -> Column:
+    """Aggregate: SHA-256 over the values in the order of their place; for samples, whose keys fit a row."""
+    ordered = F.array_sort(F.collect_list(F.struct(place.alias("p"), c.cast("string").alias("v"))))
+    return F.sha2(F.array_join(F.transform(ordered, lambda x: x["v"]), ""), 256)

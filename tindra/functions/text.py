@@ -53,3 +53,19 @@ def clean_title(c: Column, limit: int = 300) -> Column:
     one = F.regexp_replace(one, r"(?i)( - les mer| » kontakt oss)$", "")
     one = F.regexp_replace(one, r" [|»] [^|»]*$", "")
     return filled(F.substring(F.trim(one), 1, limit))
+
+
+def has_phrase(words: Column, phrase: Column) -> Column:
+    """Whether an array of words holds the words of another in a row; an empty phrase is nowhere."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - F.size(phrase) + 1, F.lit(1)))
+    return (F.size(phrase) > 0) & F.exists(starts, lambda k: F.slice(words, k, F.size(phrase)) == phrase)
+
+
+def first_rule(rules: list[tuple[str, str]], *texts: Column) -> Column:
+    """The name of the first rule whose pattern occurs in the texts, letter case ignored; null where none does."""
+    text = F.concat_ws(" ", *texts)
+    result = None
+    for name, pattern in rules:
+        hit = text.rlike("(?iu)" + pattern)
+        result = F.when(hit, name) if result is None else result.when(hit, name)
+    return result

@@ -69,3 +69,24 @@ def json_ld(df: DataFrame, key: str, html: str, kind: str) -> DataFrame:
 def json_fields(df: DataFrame, body: str, fields: dict[str, str]) -> DataFrame:
     """Adds columns from JSON bodies by path; null where the body is no JSON."""
     return df.withColumns({name: F.get_json_object(F.col(body), path) for name, path in fields.items()})
+
+
+def publication_day(html: Column, url: Column) -> Column:
+    """The day a page was published, as YYYY-MM-DD: told by its metadata, its embedded data, a time element, its address, or the one date in it."""
+    iso = r"(20\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))"
+    one = lambda pattern: F.regexp_extract(html, pattern, 1)
+    meta = one(r"""(?is)<meta\b[^>]*(?:article:published_time|datePublished|pubdate)["'][^>]*content\s*=\s*["']""" + iso)
+    data = one(r'"datePublished"\s*:\s*"' + iso)
+    time = one(r"""(?is)<time\b[^>]*datetime\s*=\s*["']""" + iso)
+    address = F.regexp_replace(F.regexp_extract(url, r"/(20\d{2}[/-](?:0[1-9]|1[0-2])[/-](?:0[1-9]|[12]\d|3[01]))(?:[/-]|$)", 1), "/", "-")
+    every = F.array_distinct(F.regexp_extract_all(html, F.lit(iso), F.lit(1)))
+    only = F.when(F.size(every) == 1, every[0])
+    empty = lambda c: F.when(c != "", c)
+    return F.coalesce(empty(meta), empty(data), empty(time), empty(address), only)
+
+
+def search_results(df: DataFrame, key: str, body: str, path: str = "$.web.results") -> DataFrame:
+    """(key, rank, url, title, snippet) of the results of search answers in JSON; rank counts from 1."""
+    items = F.from_json(F.get_json_object(F.col(body), path), "array<struct<url:string,title:string,description:string>>")
+    rows = df.select(key, F.posexplode(items).alias("_p", "r"))
+    return rows.select(key, (F.col("_p") + 1).alias("rank"), "r.url", "r.title", F.col("r.description").alias("snippet")).where("url is not null")

@@ -85,3 +85,14 @@ def either_key(df: DataFrame, group: str, first: str, second: str, order: list[s
 
     kept = groups.select(F.explode(F.aggregate("_items", start, step, lambda s: s["kept"])).alias("r"))
     return kept.select("r.*")
+
+
+def best_of(df: DataFrame, key: list[str], score: Column, tie: list[Column]) -> DataFrame:
+    """The row of each key with the greatest score; of equal scores the first in ``tie``.  Null scores come last.
+
+    An aggregate with one row of state, so a key of any size is fine.
+    """
+    rest = [c for c in df.columns if c not in key]
+    # The least of (negated rank, tie) is found by min_by over a struct.
+    order = F.struct(F.when(score.isNull(), 1).otherwise(0), (-score).alias("s"), *tie)
+    return df.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*key, "_r.*")

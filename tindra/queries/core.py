@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tindra.functions import text, urls
-from tindra.functions.hashing import content_hash
-from tindra.operators import aggregates, candidates, evidence, extract, history, identity, lookup, ranking, sampling
+from tindra.functions.hashing import content_hash, sequence_hash, set_hash
+from tindra.operators import aggregates, candidates, evidence, extract, history, identity, lookup, ranking, sampling, synthesis
 from tindra.plans import screen
 from tindra.tables import load
 
@@ -488,3 +488,60 @@ def screen_abstains(spark, folder):
 def derived_ids(spark, folder):
     rows = load(spark, folder, "jobs").select("job_id", "company_orgnr", "source_url").distinct()
     return rows.select("job_id", F.concat(F.lit("job-"), F.substring(content_hash(F.col("company_orgnr"), F.col("source_url")), 1, 16)).alias("derived_id"))
+
+
+# Facts, gaps, signals
+
+_PATHS = {"registry": ["employees"], "registry_live": ["employees"], "financials": ["revenue", "year"], "website": ["host", "count"], "roles": ["host", "count"]}
+
+
+@query(f"""WITH {_EVIDENCE}, k AS (SELECT * FROM ev WHERE state = 'available' AND source_url IS NOT NULL AND retrieved_at IS NOT NULL AND content_sha256 IS NOT NULL),
+c AS (SELECT *, unnest(CASE WHEN field IN ('registry', 'registry_live') THEN ['employees'] WHEN field = 'financials' THEN ['revenue', 'year'] WHEN field IN ('website', 'roles') THEN ['host', 'count'] END) AS claim FROM k)
+SELECT DISTINCT organisation_number, field AS module, claim, json_extract_string(value, '$.' || claim) AS value, source_url, retrieved_at, content_sha256 FROM c WHERE json_extract_string(value, '$.' || claim) IS NOT NULL""")
+def company_facts(spark, folder):
+    return synthesis.facts(_evidence(spark, folder), _PATHS)
+
+
+@query(f"""WITH {_EVIDENCE} SELECT DISTINCT organisation_number, field AS module, unnest(['revenue', 'year']) AS claim, json_extract_string(value, unnest(['$.revenue', '$.year'])) AS value FROM ev
+WHERE field = 'financials' AND state = 'available' AND source_url IS NOT NULL AND retrieved_at IS NOT NULL AND content_sha256 IS NOT NULL AND json_extract_string(value, '$.revenue') IS NOT NULL AND json_extract_string(value, '$.year') IS NOT NULL""")
+def answer_on_revenue(spark, folder):
+    known = synthesis.facts(_evidence(spark, folder), _PATHS)
+    return synthesis.answer(known, "What was the revenue?").select("organisation_number", "module", "claim", "value").distinct()
+
+
+@query(f"""WITH {_REGISTRY}, {_EVIDENCE}, b AS (SELECT organisation_number, field AS module, bool_or(state = 'available') AS ok, min(state) AS state FROM ev GROUP BY 1, 2),
+w AS (SELECT organisation_number, unnest(['registry', 'registry_live', 'financials', 'roles', 'group', 'locations', 'website', 'accounting_obligation', 'external_footprint']) AS module FROM reg)
+SELECT w.organisation_number, w.module, coalesce(b.state, 'missing') AS state FROM w LEFT JOIN b USING (organisation_number, module) WHERE NOT coalesce(b.ok, false)""")
+def unknown_modules(spark, folder):
+    return synthesis.unknowns(_registry(spark, folder), _evidence(spark, folder))
+
+
+@query("""SELECT company_orgnr AS organisation_number, 'postings' AS signal, count(*) AS n FROM (SELECT DISTINCT ON (job_id) * FROM jobs ORDER BY job_id, ingested_at) WHERE identity_assessment.score >= 0.9 AND company_orgnr IS NOT NULL GROUP BY 1
+UNION ALL SELECT company_orgnr, 'news', count(*) FROM (SELECT DISTINCT ON (activity_id) * FROM activities ORDER BY activity_id, ingested_at) WHERE activity_type = 'news' AND company_orgnr IS NOT NULL GROUP BY 1""")
+def growth_signals(spark, folder):
+    jobs = ranking.keep_first(load(spark, folder, "jobs"), ["job_id"], [F.col("ingested_at")]).withColumnRenamed("company_orgnr", "organisation_number")
+    news = ranking.keep_first(load(spark, folder, "activities"), ["activity_id"], [F.col("ingested_at")]).withColumnRenamed("company_orgnr", "organisation_number")
+    named = F.col("organisation_number").isNotNull()
+    return synthesis.signals({"postings": (jobs, named & (F.col("identity_assessment.score") >= 0.9)), "news": (news, named & (F.col("activity_type") == "news"))})
+
+
+@query(f"WITH {_REGISTRY}, s AS (SELECT organisation_number, sha256('s1:' || organisation_number) AS h FROM reg ORDER BY 2, 1 LIMIT 50) SELECT sha256(string_agg(organisation_number, chr(10) ORDER BY organisation_number)) AS set_hash, sha256(string_agg(organisation_number, '' ORDER BY h)) AS sequence_hash FROM s")
+def sample_hashes(spark, folder):
+    sample = hash_rank_sample(spark, folder)
+    return sample.agg(set_hash(F.col("organisation_number")).alias("set_hash"), sequence_hash(F.col("organisation_number"), F.col("rank_hash")).alias("sequence_hash"))
+
+
+@query("SELECT host AS organisation_number, candidate_id FROM (SELECT organisation_number AS host, fetch_id AS candidate_id, row_number() OVER (PARTITION BY organisation_number ORDER BY bytes_received DESC NULLS LAST, fetch_id) AS rn FROM fetch_results) WHERE rn = 1")
+def largest_page(spark, folder):
+    rows = load(spark, folder, "fetch_results").select("organisation_number", "fetch_id", "bytes_received")
+    return ranking.best_of(rows, ["organisation_number"], F.col("bytes_received"), [F.col("fetch_id")]).select("organisation_number", F.col("fetch_id").alias("candidate_id"))
+
+
+_KINDS = [("award", "pris(en)?\\b|award"), ("launch", "åpner|lansér|opens|launch"), ("agreement", "avtale|contract|sammen"), ("event", "fagdag|messen|årsmøte")]
+
+
+@query(r"""SELECT activity_id, CASE WHEN regexp_matches(t, '(?i)pris(en)?\b|award') THEN 'award' WHEN regexp_matches(t, '(?i)åpner|lansér|opens|launch') THEN 'launch' WHEN regexp_matches(t, '(?i)avtale|contract|sammen') THEN 'agreement' WHEN regexp_matches(t, '(?i)fagdag|messen|årsmøte') THEN 'event' END AS kind
+FROM (SELECT DISTINCT activity_id, coalesce(title, '') AS t FROM activities) WHERE NOT regexp_matches(t, '[^\x00-\x7eæøåÆØÅ]')""")
+def activity_kinds(spark, folder):
+    rows = load(spark, folder, "activities").select("activity_id", F.coalesce("title", F.lit("")).alias("t")).distinct().where(~F.col("t").rlike("[^\\x00-\\x7eæøåÆØÅ]"))
+    return rows.select("activity_id", text.first_rule(_KINDS, F.col("t")).alias("kind"))
