@@ -190,9 +190,13 @@ def content_lines(text: str, url: str, kind: str, models: dict[str, LinearChain]
     if not text or not text.strip() or is_json(text):
         return []
     if kind == "title":
-        parts = title_parts(text)
-        labels = models["title"].decode([[*text_features(p), f"parts={min(len(parts), 3)}"] for p in parts])
-        return [0] if HEADLINE in labels or CONTENT in labels else []
+        found = []
+        for k, line in enumerate(text.split("\n")):
+            parts = title_parts(line) if line.strip() else []
+            labels = models["title"].decode([[*text_features(p), f"parts={min(len(parts), 3)}"] for p in parts])
+            if HEADLINE in labels or CONTENT in labels:
+                found.append(k)
+        return found
     if kind == "page" and is_html(text):
         blocks, title = html_blocks(text)
         declared = any("main" in b.ancestors for b in blocks)

@@ -224,7 +224,7 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = form_classes(df, key, text)
     mixed = rows.groupBy("class_id").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a <> b").select("class_id")
-    members = rows.join(mixed, "class_id", "left_semi")
+    members = rows.join(mixed, "class_id", "left_semi").distinct()
     left = members.select("class_id", F.col(key).alias("doc_a"), F.col("text_id").alias("_a"))
     right = members.select("class_id", F.col(key).alias("doc_b"), F.col("text_id").alias("_b"))
-    return left.join(right, "class_id").where("doc_a < doc_b and _a <> _b").select("doc_a", "doc_b").distinct()
+    return left.join(right, "class_id").where("doc_a < doc_b and _a <> _b").select("doc_a", "doc_b")
