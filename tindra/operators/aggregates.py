@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tindra.session import checkpoint
+
 
 def footprint(df: DataFrame, key: str, platform: str, url: str, accepted: Column, retrieved: Column, as_of: Column, fresh_days: int = 45) -> DataFrame:
     """One row for each key: rows accepted and rejected, platforms, distinct addresses, and how many were fresh at ``as_of``.
@@ -54,14 +56,16 @@ def state_table(df: DataFrame, row: str, status: str, states: tuple[str, ...]) -
 def order_statistics(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(group..., n, names...): for each share p the value at place floor(n p), counted from 0, of the group's values in order.
 
-    Nulls are left out.  Places are found from counts of distinct values, so a group is
-    never collected: it is shuffled as (value, count) and summed in a window.
+    Nulls are left out.  Places are found from counts of distinct values that lie in
+    ranges over all tasks, so a group of any size is spread; the ranges are checkpointed.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*group).orderBy(value)
-    whole = counts.groupBy(*group).agg(F.sum("_c").alias("n"))
-    through = counts.withColumn("_through", F.sum("_c").over(w))
-    joined = through.join(whole, group) if group else through.crossJoin(F.broadcast(whole))  # one row
+    ranged = checkpoint(counts.repartitionByRange(*group, value).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*group, "_range").agg(F.sum("_c").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_range")  # a row for each range of a group
+    before = sizes.select(*group, "_range", (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias("n"))
+    inner = F.sum("_c").over(Window.partitionBy(*group, "_range").orderBy(value))
+    joined = ranged.withColumn("_inner", inner).join(before, [*group, "_range"]).withColumn("_through", F.col("_before") + F.col("_inner"))
     place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
     return joined.groupBy(*group).agg(F.first("n").alias("n"), *(F.min(F.when(F.col("_through") > place(p), F.col(value))).alias(name) for name, p in shares.items()))
 

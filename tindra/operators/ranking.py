@@ -69,9 +69,16 @@ def quota_then_rest(df: DataFrame, key: str, kind: str, order: list[Column], quo
 def either_key(df: DataFrame, group: str, first: str, second: str, order: list[str]) -> DataFrame:
     """Of each group the rows, in order, of which neither key was seen in a row that was kept.
 
-    A pass that depends on what came before, so it folds over the group's rows; a row
-    whose keys are both null is always kept.  Groups are lists of one company's items.
+    A pass that depends on what came before, so it folds over the group's rows.  A row
+    with both keys of an earlier one falls whatever came of that, so such copies are
+    aggregated away first; a row whose keys are both null is always kept and never
+    enters the fold.  What is left of a group is a list of different items.
     """
+    alone = df.where(F.col(first).isNull() & F.col(second).isNull())
+    rest = [c for c in df.columns if c not in (group, first, second)]
+    once = df.where(F.col(first).isNotNull() | F.col(second).isNotNull()).groupBy(group, first, second).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    columns = df.columns
+    df = once.select(group, first, second, "_r.*").select(*columns)
     item = F.struct(*order, F.col(first).alias("_a"), F.col(second).alias("_b"), F.struct(*df.columns).alias("_row"))
     groups = df.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     row_type = df.schema.simpleString()
@@ -84,7 +91,7 @@ def either_key(df: DataFrame, group: str, first: str, second: str, order: list[s
         return F.struct(add(state["a"], x["_a"]).alias("a"), add(state["b"], x["_b"]).alias("b"), F.when(seen, state["kept"]).otherwise(F.array_append(state["kept"], x["_row"])).alias("kept"))
 
     kept = groups.select(F.explode(F.aggregate("_items", start, step, lambda s: s["kept"])).alias("r"))
-    return kept.select("r.*")
+    return kept.select("r.*").unionByName(alone)
 
 
 def best_of(df: DataFrame, key: list[str], score: Column, tie: list[Column]) -> DataFrame:
