@@ -124,7 +124,7 @@ def _marks(points: np.ndarray, rows: np.ndarray, t: dict[str, np.ndarray]) -> tu
     starter = cls == 0
     starter[rows[:-1][rows[:-1] < len(points)]] = True  # a mark that begins a row has no letter
     run = np.cumsum(starter)
-    rank_class = np.where(starter, 0, cls)
+    rank_class = cls  # 0 for letters; marks without a letter are put in order too
     if ((rank_class[1:] < rank_class[:-1]) & ~starter[1:]).any():
         order = np.lexsort((rank_class, run))  # stable, and keeps the runs
         points, cls = points[order], cls[order]
