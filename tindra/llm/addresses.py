@@ -32,7 +32,7 @@ from tindra.session import checkpoint
 #: Bands of one row each: two names that share a quarter of their 2-grams meet in one with probability 0.999.
 BANDS = 24
 #: Costs of the alignment; a pair is accepted up to LIMIT.
-SUBSTITUTED_LETTER, OTHER_EDIT, GAP_OPEN, GAP_EXTEND, LIMIT, NEVER = 1.2, 1.0, 1.5, 0.5, 2.3, 9.0
+SUBSTITUTED_LETTER, OTHER_EDIT, GAP_OPEN, GAP_EXTEND, LIMIT, NEVER = 1.6, 1.0, 2.5, 0.5, 3.1, 9.0
 
 
 def form_of(parts: Parts) -> str:
