@@ -4,17 +4,16 @@ Texts are split into words in the JVM by the tokenizer's own pattern.  Merges ne
 cross words, so each distinct word is encoded once and its ids are joined back by
 position.
 
-* The word table is an aggregate with map-side combine: what is shuffled for it are
-  the distinct words of each task, not the words of the corpus.
+* Words are counted batch by batch: what is shuffled for the word table are the
+  distinct words of each batch, not the words of the corpus.
 * The most frequent words (at most ``hot_words`` words of at most ``hot_length``
   characters, so at most a few MB) are broadcast: they cover nearly all positions,
-  need no shuffle, and are just the words that would skew a join.  All other words
-  take the shuffled join; no word is left out.
-* Texts are placed by document key once, so the broadcast part is put together
-  without another shuffle.
+  are put in place by array gathers without a shuffle, and are just the words that
+  would skew a join.  All other words take the shuffled join by document and
+  position; no word is left out.
 
-Defined results: null and empty texts give an empty list.  Document keys are taken
-to be unique; repeated keys give one row.
+Defined results: null and empty texts give an empty list.  Rows that repeat a key are
+taken to agree, and give a row each.
 """
 
 from __future__ import annotations
@@ -23,7 +22,9 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,36 +68,82 @@ def words_of(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(key, F.when(F.col(text).rlike(r"\p{Cn}"), resplit(F.when(F.col(text).rlike(r"\p{Cn}"), F.col(text)).otherwise(F.lit("")))).otherwise(known).alias("words"))
 
 
+def _flat(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The words of a column end to end, and the number of words of each row."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    return words.flatten(), lengths.astype(np.int64)
+
+
 def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids) of each distinct word of a frame with an array column ``words``."""
-    counted = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n, ids) of each distinct word of a frame with an array column ``words``.
+
+    Words are counted within each Arrow batch, so a task passes its distinct words on.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            counted = pc.value_counts(_flat(batch.column(0))[0])
+            yield pa.RecordBatch.from_arrays([counted.field("values").cast(pa.string()), counted.field("counts")], names=["word", "n"])
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokenizer(path)
         for frame in frames:
             yield frame.assign(ids=encoder.encode_ordinary_batch(frame["word"].tolist(), num_threads=1))
 
+    counted = words.select("words").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.mapInPandas(encode, "word string, n bigint, ids array<int>")
 
 
+def place_ids(flat: pa.Array, lengths: np.ndarray, known: dict[str, list[int]]) -> tuple[pa.ListArray, pa.ListArray]:
+    """(ids, others) of rows of words: the ids of known words in their places, and -k in the place of the k-th other word."""
+    coded = flat.dictionary_encode()
+    uniques = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    found = [known.get(w) for w in uniques]
+    width = np.array([1 if ids is None else len(ids) for ids in found], dtype=np.int64)
+    start = np.concatenate(([0], np.cumsum(width)))
+    pool = np.array([x for ids in found for x in (ids if ids is not None else (-1,))], dtype=np.int64)
+    other = np.array([ids is None for ids in found], dtype=bool)
+    each = width[codes] if len(codes) else np.zeros(0, dtype=np.int64)
+    ends = np.concatenate(([0], np.cumsum(each)))
+    inside = np.arange(ends[-1]) - np.repeat(ends[:-1], each)
+    ids = pool[np.repeat(start[codes], each) + inside] if len(codes) else np.zeros(0, dtype=np.int64)
+    rows = np.concatenate(([0], np.cumsum(lengths)))
+    at = np.flatnonzero(other[codes]) if len(codes) else np.zeros(0, dtype=np.int64)
+    before = np.searchsorted(at, rows)
+    row = np.searchsorted(rows, at, side="right") - 1
+    ids[ends[at]] = -(np.arange(len(at)) - before[row] + 1)
+    return (
+        pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(ids, pa.int32())),
+        pa.ListArray.from_arrays(pa.array(before, pa.int32()), flat.take(pa.array(at, pa.int64())).cast(pa.string())),
+    )
+
+
 def encode(documents: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, hot_words: int = 20_000, hot_length: int = 32) -> DataFrame:
-    """(key, ids) of every row, without special tokens.  Checkpoints the word table."""
+    """(key, ids) of every row, without special tokens.  Checkpoints the word table and what the frequent words give."""
     path = f"{folder}/{vocabulary}.tiktoken"
-    placed = documents.select(key, text).repartition(F.col(key))
-    words = words_of(placed, key, text)
-    table = checkpoint(word_table(words_of(documents, key, text), path))
+    words = words_of(documents, key, text)
+    table = checkpoint(word_table(words, path))
     hot = table.where(F.length("word") <= hot_length).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids")
-    cold = table.join(F.broadcast(hot.select("word")), "word", "left_anti").select("word", "ids")
-    positions = words.select(key, F.posexplode("words").alias("pos", "word"))
-    found = positions.join(F.broadcast(hot), "word", "left")  # at most hot_words rows of hot_length characters
-    rest = positions.join(F.broadcast(hot.select("word")), "word", "left_anti").join(cold, "word")
-    part = F.struct("pos", "ids")
-    near = found.where("ids is not null").groupBy(key).agg(F.collect_list(part).alias("_near"))
-    far = rest.groupBy(key).agg(F.collect_list(part).alias("_far"))
-    empty = F.array().cast("array<struct<pos:int,ids:array<int>>>")
-    both = placed.select(key).distinct().join(near, key, "left").join(far, key, "left")
-    every = F.sort_array(F.concat(F.coalesce("_near", empty), F.coalesce("_far", empty)))
-    return both.select(key, F.flatten(F.transform(every, lambda p: p["ids"])).alias("ids"))
+    known = {r.word: list(r.ids) for r in hot.collect()}  # at most hot_words rows of hot_length characters
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+    key_type = documents.schema[key].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, others = place_ids(*_flat(batch.column(1)), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, others], names=[key, "ids", "others"])
+
+    placed = checkpoint(words.mapInArrow(place, f"{key} {key_type}, ids array<int>, others array<string>"))
+    rare = placed.select(key, F.posexplode("others").alias("pos", "word")).join(table.select("word", F.col("ids").alias("w")), "word").select(key, "pos", "w").distinct()
+    far = rare.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("_far"))
+    filled = F.flatten(F.transform("ids", lambda x: F.when(x >= 0, F.array(x)).otherwise(F.element_at("_far", -x))))
+    whole = placed.where(F.size("others") == 0).select(key, "ids")
+    return whole.unionByName(placed.where(F.size("others") > 0).join(far, key).select(key, filled.alias("ids")))
 
 
 def decode(encoded: DataFrame, key: str, ids: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
