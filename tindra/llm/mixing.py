@@ -89,7 +89,7 @@ def _plan(targets: DataFrame) -> list[tuple[str, float, float]]:
     return [(r.source, float(r.target_share or 0.0), float(r.max_repeats or 0)) for r in rows]
 
 
-def fit_rates(documents: DataFrame, plan: list[tuple[str, float, float]], total: float | None = None, label_weight: float = 4.0, tolerance: float = 1e-4, rounds: int = 25) -> tuple[DataFrame, dict]:
+def fit_rates(documents: DataFrame, plan: list[tuple[str, float, float]], total: float | None = None, label_weight: float = 4.0, tolerance: float = 1e-3, rounds: int = 25) -> tuple[DataFrame, dict]:
     """The documents with their rate, and what was fitted.  ``documents`` as from ``sized``, checkpointed."""
     names, n = [s for s, _, _ in plan], len(plan)
     share, cap = np.array([x for _, x, _ in plan]), np.array([c for _, _, c in plan])
@@ -113,8 +113,8 @@ def fit_rates(documents: DataFrame, plan: list[tuple[str, float, float]], total:
         ).first()
         expected = np.array([float(sums[f"e{j}"] or 0.0) for j in range(n)])
         hard = np.array([float(sums[f"h{j}"] or 0.0) for j in range(n)])
-        residual = np.concatenate(((expected - goal) / np.maximum(goal, 1.0), (hard - goal) / np.maximum(goal, 1.0)))
-        if not usable.any() or np.abs(residual[n:][usable]).max() < tolerance and steps:
+        last, residual = residual, np.concatenate(((expected - goal) / np.maximum(goal, 1.0), (hard - goal) / np.maximum(goal, 1.0)))
+        if not usable.any() or steps and np.abs(residual - last)[n:][usable].max() < tolerance:
             break
         scale = 1.0 / (1.0 + label_weight)
         soft = sum((F.col("p")[j] * float(residual[j] * scale) for j in range(n) if usable[j]), F.lit(0.0))
