@@ -9,9 +9,28 @@ from tindra.functions.hashing import rank_key
 from tindra.session import checkpoint
 
 
+def _share(df: DataFrame, k: int) -> DataFrame:
+    """One row: the share of rows whose hash is looked at for the ``k`` least, several times what is needed."""
+    return df.agg(F.least(F.lit(4.0 * k + 200) / F.greatest(F.count("*"), F.lit(1)), F.lit(1.0)).alias("_share"))
+
+
 def bottom_k(df: DataFrame, key: str, k: int, seed: str) -> DataFrame:
-    """The ``k`` rows of least rank, with the column ``rank_hash``; equal keys are told apart by nothing and tie."""
-    return df.withColumn("rank_hash", rank_key(seed, F.col(key))).orderBy("rank_hash", key).limit(k)
+    """The ``k`` rows of least rank, with the column ``rank_hash``; equal keys are told apart by nothing and tie.
+
+    A top list takes ``k`` rows from every task, so ranks above a bound that the number of
+    rows sets are dropped first; some 4 k rows are left (fewer than k would be by
+    chance less than once in 10^20).
+    """
+    ranked = df.withColumn("rank_hash", rank_key(seed, F.col(key))).crossJoin(F.broadcast(_share(df, k)))  # one row
+    bound = F.lpad(F.lower(F.hex(F.floor(F.col("_share") * 4294967295).cast("bigint"))), 8, "0")
+    return ranked.where(F.substring("rank_hash", 1, 8) <= bound).drop("_share").orderBy("rank_hash", key).limit(k)
+
+
+def least_hashed(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """The ``k`` rows of least 64-bit hash of seed and key, as ``bottom_k`` but for keys of any type and without the hash."""
+    mixed = F.xxhash64(F.lit(seed), F.col(key))
+    ranked = df.withColumns({"_u": F.shiftrightunsigned(mixed, 32), "_h": mixed}).crossJoin(F.broadcast(_share(df, k)))  # one row
+    return ranked.where(F.col("_u") <= F.col("_share") * 4294967295).orderBy("_u", "_h", key).limit(k).drop("_u", "_h", "_share")
 
 
 def preserve_then_fill(df: DataFrame, key: str, preserved: DataFrame, k: int, seed: str) -> DataFrame:
@@ -21,7 +40,7 @@ def preserve_then_fill(df: DataFrame, key: str, preserved: DataFrame, k: int, se
     """
     keys = df.select(key).distinct()
     kept = bottom_k(keys.join(preserved.select(key).distinct(), key, "left_semi"), key, k, f"{seed}:preserved").select(key)
-    filled = keys.join(preserved.select(key).distinct(), key, "left_anti").withColumn("_h", rank_key(seed, F.col(key))).orderBy("_h", key).limit(k)
+    filled = bottom_k(keys.join(preserved.select(key).distinct(), key, "left_anti"), key, k, seed).withColumnRenamed("rank_hash", "_h")
     both = kept.select(key, F.lit(True).alias("is_preserved"), F.lit("").alias("_h")).unionByName(filled.select(key, F.lit(False).alias("is_preserved"), "_h"))
     taken = both.orderBy(F.desc("is_preserved"), "_h", key).limit(k)
     order = Window.orderBy(rank_key(f"{seed}:order", F.col(key)), key)  # over k rows
@@ -65,7 +84,8 @@ def one_per_group(df: DataFrame, key: str, group: str, n: int, seed: str, used:
     if used is not None:
         rows = rows.join(used.select(group).distinct(), group, "left_anti")
     first = rows.groupBy(group).agg(F.min(F.struct(rank_key(seed, F.col(key)).alias("rank_hash"), F.col(key).alias(key))).alias("_m"))
-    return first.select(group, f"_m.{key}", "_m.rank_hash").orderBy("rank_hash", key).limit(n)
+    rows = first.select(group, f"_m.{key}", "_m.rank_hash")
+    return rows.orderBy("rank_hash", key).limit(n)
 
 
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
