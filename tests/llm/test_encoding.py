@@ -19,9 +19,9 @@ def test_ids_and_back(spark):
     rows = [(k, t, "x") for k, t in enumerate(TEXTS)] + [(0, TEXTS[0], "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, word string").repartition(4)
     encoder = E.tokenizer(PATH)
-    # With a tiny table of frequent words nearly all words take the other way.
-    for hot in (3, 20_000):
-        ids = E.encode(df, "doc_id", "text", hot_words=hot)
+    # With hardly any frequent words nearly all take the other way.
+    for hot in (0.05, 5e-6):
+        ids = E.encode(df, "doc_id", "text", hot_share=hot)
         assert ids.count() == len(rows)
         got = {r.doc_id: r.ids for r in ids.collect()}
         assert got == {k: encoder.encode_ordinary(t or "") for k, t in enumerate(TEXTS)}

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tindra.llm.crf import LinearChain
 from tindra.llm.page_blocks import Block, html_blocks, is_html, line_blocks, page_features, sequence_features, text_features, words
+from tindra.operators.sampling import least_hashed
 
 OUTSIDE, HEADLINE, CONTENT, INSIDE = range(4)
 #: Training pages at most.
@@ -213,7 +214,7 @@ def content_lines(text: str, url: str, kind: str, models: dict[str, LinearChain]
 def training_pages(pages: DataFrame, key: str, url: str, body: str, sample: int = SAMPLE) -> list[tuple[str, str]]:
     """(url, body) of at most ``sample`` pages that declare a main part, chosen by the hash of their key."""
     declared = pages.where(F.col(body).rlike(r"(?i)<main[ >]")).select(F.col(key), F.col(url), F.col(body))
-    rows = declared.orderBy(F.xxhash64(F.lit(11), F.col(key)), F.col(key)).limit(sample).collect()
+    rows = least_hashed(declared, key, sample, 11).collect()
     return [(r[1] or "", r[2]) for r in rows]
 
 

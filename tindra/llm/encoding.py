@@ -6,8 +6,8 @@ position.
 
 * Words are counted batch by batch: what is shuffled for the word table are the
   distinct words of each batch, not the words of the corpus.
-* The most frequent words (at most ``hot_words`` words of at most ``hot_length``
-  characters, so at most a few MB) are broadcast: they cover nearly all positions,
+* The most frequent words (those with a share of at least ``hot_share`` of all words, so at
+  most ``1 / hot_share`` words, of at most ``hot_length`` characters) are broadcast: they cover nearly all positions,
   are put in place by array gathers without a shuffle, and are just the words that
   would skew a join.  All other words take the shuffled join by document and
   position; no word is left out.
@@ -123,13 +123,14 @@ def place_ids(flat: pa.Array, lengths: np.ndarray, known: dict[str, list[int]])
     )
 
 
-def encode(documents: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, hot_words: int = 20_000, hot_length: int = 32) -> DataFrame:
+def encode(documents: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, hot_share: float = 5e-6, hot_length: int = 32) -> DataFrame:
     """(key, ids) of every row, without special tokens.  Checkpoints the word table and what the frequent words give."""
     path = f"{folder}/{vocabulary}.tiktoken"
     words = words_of(documents, key, text)
     table = checkpoint(word_table(words, path))
-    hot = table.where(F.length("word") <= hot_length).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids")
-    known = {r.word: list(r.ids) for r in hot.collect()}  # at most hot_words rows of hot_length characters
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.where((F.length("word") <= hot_length) & (F.col("n") >= hot_share * total)).select("word", "ids")
+    known = {r.word: list(r.ids) for r in hot.collect()}  # at most 1 / hot_share rows of hot_length characters
     shared = documents.sparkSession.sparkContext.broadcast(known)
     key_type = documents.schema[key].dataType.simpleString()
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tindra.llm.crf import LinearChain
 from tindra.llm.encoding import TOKENIZERS, tokenizer
+from tindra.operators.sampling import least_hashed
 from tindra.session import checkpoint
 
 #: Labelled documents that the classifier is fitted on, at most.
@@ -51,7 +52,7 @@ def features(text: str) -> list[str]:
 def fit_domains(documents: DataFrame, targets: list[str], sample: int = SAMPLE) -> LinearChain:
     """The classifier of the domains, fitted on at most ``sample`` documents of the named sources, chosen by hash."""
     rows = documents.where(F.col("source").isin(targets) & (F.col("text") != "")).select("doc_id", "text", "source")
-    taken = rows.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample).collect()
+    taken = least_hashed(rows, "doc_id", sample, 5).collect()
     place = {s: k for k, s in enumerate(targets)}
     return LinearChain(len(targets), rounds=60).fit([[features(r.text)] for r in taken], [[place[r.source]] for r in taken])
 
