@@ -44,7 +44,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder:
             if not is_local(spark):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
