@@ -13,7 +13,8 @@ lines.  So the model has to know the others by their text, their container and
 their neighbours.
 
 Defined results: null, empty and JSON bodies have no content; neither have texts of
-which no line is content.  Texts are taken whole.
+which no line is content.  Where no page declares its main part nothing can be learnt
+and nothing is found.  Texts are taken whole.
 """
 
 from __future__ import annotations
