@@ -231,6 +231,13 @@ def clean_titles(spark, folder):
     return rows.select("activity_id", text.clean_title(F.col("title")).alias("title"))
 
 
+@query("""SELECT activity_id, nullif(substring(trim(regexp_replace(regexp_replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), '( - les mer| » kontakt oss)$', '', 'i'), ' [|»] [^|»]*$', '')), 1, 300), '') AS title FROM (SELECT DISTINCT activity_id, title FROM activities)""")
+def clean_titles_all(spark, folder):
+    """Every activity, whatever its title's characters; ``clean_titles`` leaves those out that its SQL leaves out."""
+    rows = load(spark, folder, "activities").select("activity_id", "title").distinct()
+    return rows.select("activity_id", text.clean_title(F.col("title")).alias("title"))
+
+
 # First, newest, turn-taking
 
 
