@@ -29,3 +29,45 @@ def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([("news", 1.0, 2)], "source string, target_share double, max_repeats int")
     assert [r.used_tokens for r in X.shares(X.mix(docs, targets), targets).collect()] == [0]
+
+
+def test_rates_are_fitted_to_the_end(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    n, size, weight = 4, 3000, 4.0
+    k = draw.choice(n, size, p=[0.5, 0.3, 0.15, 0.05])
+    tokens = np.ceil(draw.lognormal(5, 1, size)).astype(int)
+    score = draw.normal(0, 1, (size, n)) + draw.normal(0, 0.8, (n, n))[k]
+    score[np.arange(size), k] += 1
+    p = np.exp(score) / np.exp(score).sum(1, keepdims=True)
+    plan = [("a", 0.2, 2.0), ("b", 0.3, 3.0), ("c", 0.4, 5.0), ("d", 0.1, 4.0)]
+    docs = [(i, plan[k[i]][0], int(tokens[i]), p[i].tolist()) for i in range(size)] + [(size, "other", 9, [0.25] * n)]
+    fitted, how = X.fit_rates(spark.createDataFrame(docs, "doc_id int, source string, tokens bigint, p array<double>"), plan)
+    found = {r.doc_id: r.rate for r in fitted.select("doc_id", "rate").collect()}
+    assert len(found) == size + 1 and found[size] == 0 and how["converged"]
+    # Brute force: many plain projected steps, all in one place.
+    goal, cap = how["goal"], np.array([c for _, _, c in plan])[k]
+    start = np.minimum(goal / np.bincount(k, tokens, n), [c for _, _, c in plan])[k]
+
+    def residual(r):
+        return np.concatenate((r * tokens @ p / goal - 1, np.bincount(k, r * tokens, n) / goal - 1))
+
+    def loss(r):
+        return (np.concatenate((goal, weight * goal)) * residual(r) ** 2).sum() / goal.sum() / 2
+
+    rate = start
+    for _ in range(20_000):
+        x = residual(rate)
+        rate = np.clip(rate - start / 2 * (p @ x[:n] + weight * x[n:][k]) / (1 + weight), 0, cap)
+    got = np.array([found[i] for i in range(size)])
+    assert np.allclose(how["residual"], residual(got), atol=1e-6)
+    assert loss(got) < loss(rate) + 2e-4, (loss(got), loss(rate), loss(start))
+    assert np.abs(residual(got) - residual(rate)).max() < 0.03
+
+
+def test_rounds_that_do_not_suffice_are_told(spark):
+    docs = [(i, "ab"[i % 2], 10 + i % 7, [0.6, 0.4] if i % 3 else [0.1, 0.9]) for i in range(60)]
+    with pytest.warns(UserWarning, match="not converged"):
+        _, how = X.fit_rates(spark.createDataFrame(docs, "doc_id int, source string, tokens bigint, p array<double>"), [("a", 0.7, 2.0), ("b", 0.3, 3.0)], rounds=1)
+    assert not how["converged"] and how["rounds"] == 1

@@ -7,8 +7,9 @@
    and its source's ``max_repeats``.  Projected gradient descent on least squares makes
    the token totals match the targets: the expected totals by posterior, and with
    ``label_weight`` the totals by the source that the table names.  A step needs two
-   short vectors of residuals, which one aggregation over all documents gives; the
-   update is a column expression, so no documents ever move.
+   short vectors of residuals, which one aggregation over all documents gives; it is
+   taken with momentum, and the rounds end when the projected gradient of both halves
+   is small.  Documents are never shuffled for it.
 3. *Copies.*  A rate becomes a whole number by a hash of the document's key; the
    rounding point of each source is set from a histogram so that its tokens come out
    right.
@@ -24,11 +25,13 @@ Document keys are taken to be unique.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +93,57 @@ def _plan(targets: DataFrame) -> list[tuple[str, float, float]]:
     return [(r.source, float(r.target_share or 0.0), float(r.max_repeats or 0)) for r in rows]
 
 
-def fit_rates(documents: DataFrame, plan: list[tuple[str, float, float]], total: float | None = None, label_weight: float = 4.0, tolerance: float = 1e-3, rounds: int = 25) -> tuple[DataFrame, dict]:
-    """The documents with their rate, and what was fitted.  ``documents`` as from ``sized``, checkpointed."""
+def _walked(batch: pa.RecordBatch, steps: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors, rates, the points ahead of them and the last moves (of the projected step, of the rate) after ``steps``, each a gradient by residual and a momentum."""
+    column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+    k, start, cap, rate, ahead = (column(c) for c in ("k", "start", "cap", "rate", "ahead"))
+    p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1)
+    moves = np.zeros((2, len(k)))
+    for pull, momentum in steps:
+        n = len(pull) // 2
+        new = np.clip(ahead - start * (p @ pull[:n] + pull[n:][k]), 0.0, cap)
+        moves = np.stack((new - ahead, new - rate))
+        ahead = new + momentum * (new - rate)
+        rate = new
+    return p, rate, ahead, moves
+
+
+def _sums(rows: DataFrame, n: int, steps: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """Over all documents: tokens by posterior (n) and by name (n) at the points ahead, the tokens the last projected step moved, and whether momentum went against it."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * n + 2)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, _, ahead, (step, move) = _walked(batch, steps)
+            tokens, start, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tokens", "start", "k"))
+            used = ahead * tokens
+            against = -(step * move * tokens / np.where(start > 0, start, np.inf)).sum()
+            total += np.concatenate((used @ p, np.bincount(k, used, n), [(np.abs(step) * tokens).sum(), against]))
+        yield pa.RecordBatch.from_pydict({"s": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    parts = rows.mapInArrow(partial, "s array<double>").agg(*(F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(2 * n + 2))).first()
+    return np.array([float(x or 0.0) for x in parts])
+
+
+def _moved(rows: DataFrame, steps: list[tuple[np.ndarray, float]]) -> DataFrame:
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, rate, ahead, _ = _walked(batch, steps) if batch.num_rows else (None, np.zeros(0), np.zeros(0), None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rate), pa.array(ahead)], schema=batch.schema)
+
+    return checkpoint(rows.mapInArrow(move, rows.schema))
+
+
+def fit_rates(documents: DataFrame, plan: list[tuple[str, float, float]], total: float | None = None, label_weight: float = 4.0, tolerance: float = 1e-5, rounds: int = 500) -> tuple[DataFrame, dict]:
+    """The documents with their rate, and what was fitted.  ``documents`` as from ``sized``, checkpointed.
+
+    Rounds end when a projected step over both halves of the residual moves less than
+    ``tolerance`` of the total; ``converged`` tells it from the end of ``rounds``, of
+    which there is a warning too.  ``residual`` is that of the rates returned, by
+    posterior and by name, relative to the targets.
+    """
     names, n = [s for s, _, _ in plan], len(plan)
     share, cap = np.array([x for _, x, _ in plan]), np.array([c for _, _, c in plan])
     held = {r.source: r.t for r in documents.groupBy("source").agg(F.sum("tokens").alias("t")).where(F.col("source").isin(names)).collect()}
@@ -102,31 +154,36 @@ def fit_rates(documents: DataFrame, plan: list[tuple[str, float, float]], total:
     start = np.where(usable, np.minimum(total * share / np.maximum(tokens, 1.0), cap), 0.0)
     goal = np.where(usable, total * share, 0.0)
     table = documents.sparkSession.createDataFrame([(s, k, float(start[k]), float(cap[k])) for k, s in enumerate(names)], "source string, k int, start double, cap double")
-    rows = documents.join(F.broadcast(table), "source", "left").withColumn("start", F.coalesce("start", F.lit(0.0)))  # the few targets
-    # A document's rate is a function of what it holds and of the residuals of all rounds.
-    rate = F.col("start")
-    steps: list[np.ndarray] = []
-    residual = np.zeros(2 * n)
-    for _ in range(rounds if n else 0):
-        sums = rows.select("tokens", "p", "k", rate.alias("r")).agg(
-            *(F.sum(F.col("r") * F.col("tokens") * F.col("p")[j]).alias(f"e{j}") for j in range(n)),
-            *(F.sum(F.when(F.col("k") == j, F.col("r") * F.col("tokens"))).alias(f"h{j}") for j in range(n)),
-        ).first()
-        expected = np.array([float(sums[f"e{j}"] or 0.0) for j in range(n)])
-        hard = np.array([float(sums[f"h{j}"] or 0.0) for j in range(n)])
-        last, residual = residual, np.concatenate(((expected - goal) / np.maximum(goal, 1.0), (hard - goal) / np.maximum(goal, 1.0)))
-        if not usable.any() or steps and np.abs(residual - last)[n:][usable].max() < tolerance:
+    joined = documents.join(F.broadcast(table), "source", "left").withColumn("start", F.coalesce("start", F.lit(0.0)))  # the few targets
+    how = {"names": names, "share": share, "cap": cap, "total": total, "goal": goal, "residual": np.zeros(2 * n), "rounds": 0, "projected_gradient": 0.0, "converged": True}
+    if not usable.any() or total <= 0:
+        return joined.withColumn("rate", F.col("start")), how
+    rows = joined.where("k is not null").withColumns({"rate": F.col("start"), "ahead": F.col("start")})
+    # A document's rate is a function of what it holds and of the residuals of all rounds; ``steps`` are those since the last checkpoint.
+    steps: list[tuple[np.ndarray, float]] = []
+    done, age, length, moved = 0, 1.0, 1.0, np.inf
+    relative = lambda sums: np.where(np.tile(usable, 2), (sums[: 2 * n] - np.tile(goal, 2)) / np.maximum(np.tile(goal, 2), 1.0), 0.0)
+    while True:
+        sums = _sums(rows, n, steps)
+        residual = relative(sums)
+        moved = sums[2 * n] / total if done else np.inf
+        if moved < tolerance or done >= rounds:
             break
-        scale = 1.0 / (1.0 + label_weight)
-        soft = sum((F.col("p")[j] * float(residual[j] * scale) for j in range(n) if usable[j]), F.lit(0.0))
-        named = F.coalesce(F.element_at(F.array(*(F.lit(float(x * label_weight * scale)) for x in residual[n:])), F.col("k") + 1), F.lit(0.0))
-        rate = F.greatest(F.least(rate - F.col("start") * (soft + named), F.col("cap")), F.lit(0.0))
-        steps.append(residual)
-        if len(steps) % 5 == 0:
-            rows = checkpoint(rows.withColumn("rate", rate))
-            rate = F.col("rate")
-    fitted = rows.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
-    return fitted, {"names": names, "share": share, "cap": cap, "total": total, "goal": goal, "residual": residual, "rounds": len(steps)}
+        if not done:  # no greater step is safe with momentum: the norm of both halves is at most this
+            length = 1.0 / max(1.0, (1.0 + residual[:n][usable].max() + label_weight * (1.0 + residual[n:][usable].max())) / (1.0 + label_weight))
+        if len(steps) == 25:
+            rows, steps = _moved(rows, steps), []
+        if done and sums[2 * n + 1] > 0:
+            age = 1.0
+        older, age = age, (1.0 + np.sqrt(1.0 + 4.0 * age * age)) / 2.0
+        pull = residual * length / (1.0 + label_weight)
+        steps = [*steps, (np.concatenate((pull[:n], pull[n:] * label_weight)), (older - 1.0) / age)]
+        done += 1
+    rows = _moved(rows, steps)
+    how |= {"residual": relative(_sums(rows.withColumn("ahead", F.col("rate")), n, [])), "rounds": done, "projected_gradient": float(moved), "converged": bool(moved < tolerance)}
+    if not how["converged"]:
+        warnings.warn(f"rates have not converged in {done} rounds: the last step moved {moved:.2g} of all tokens", stacklevel=2)
+    return rows.drop("ahead").unionByName(joined.where("k is null").withColumn("rate", F.lit(0.0))), how
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
