@@ -23,3 +23,11 @@ def test_titles_of_all_characters(spark, tmp_path):
     rows = spark.createDataFrame(list(enumerate(TITLES)), "activity_id int, title string")
     got = run(spark, tmp_path, "clean_titles_all", activities=rows)
     assert {r.activity_id: r.title for r in got} == {k: clean(t) if t is not None else None for k, t in enumerate(TITLES)}
+
+
+def test_kinds_of_all_titles(spark, tmp_path):
+    rules = [("award", r"pris(en)?\b|award"), ("launch", "åpner|lansér|opens|launch"), ("agreement", "avtale|contract|sammen"), ("event", "fagdag|messen|årsmøte")]
+    rows = spark.createDataFrame(list(enumerate(TITLES)), "activity_id int, title string")
+    got = run(spark, tmp_path, "activity_kinds_all", activities=rows)
+    want = {k: next((name for name, p in rules if re.search(p, t or "", re.I)), None) for k, t in enumerate(TITLES)}
+    assert {r.activity_id: r.kind for r in got} == want and want[6] == "launch" and want[7] == "award"

@@ -552,3 +552,11 @@ FROM (SELECT DISTINCT activity_id, coalesce(title, '') AS t FROM activities) WHE
 def activity_kinds(spark, folder):
     rows = load(spark, folder, "activities").select("activity_id", F.coalesce("title", F.lit("")).alias("t")).distinct().where(~F.col("t").rlike("[^\\x00-\\x7eæøåÆØÅ]"))
     return rows.select("activity_id", text.first_rule(_KINDS, F.col("t")).alias("kind"))
+
+
+@query(r"""SELECT activity_id, CASE WHEN regexp_matches(t, '(?i)pris(en)?\b|award') THEN 'award' WHEN regexp_matches(t, '(?i)åpner|lansér|opens|launch') THEN 'launch' WHEN regexp_matches(t, '(?i)avtale|contract|sammen') THEN 'agreement' WHEN regexp_matches(t, '(?i)fagdag|messen|årsmøte') THEN 'event' END AS kind
+FROM (SELECT DISTINCT activity_id, coalesce(title, '') AS t FROM activities)""")
+def activity_kinds_all(spark, folder):
+    """Every activity, whatever its title's characters; ``activity_kinds`` leaves those out that its SQL leaves out."""
+    rows = load(spark, folder, "activities").select("activity_id", F.coalesce("title", F.lit("")).alias("t")).distinct()
+    return rows.select("activity_id", text.first_rule(_KINDS, F.col("t")).alias("kind"))
