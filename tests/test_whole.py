@@ -3,6 +3,7 @@
 import re
 
 import __spark_entry__
+from tindra.operators import identity
 
 
 def run(spark, tmp_path, name, **tables):
@@ -31,3 +32,12 @@ def test_kinds_of_all_titles(spark, tmp_path):
     got = run(spark, tmp_path, "activity_kinds_all", activities=rows)
     want = {k: next((name for name, p in rules if re.search(p, t or "", re.I)), None) for k, t in enumerate(TITLES)}
     assert {r.activity_id: r.kind for r in got} == want and want[6] == "launch" and want[7] == "award"
+
+
+def test_names_far_down_a_page(spark):
+    page = "<html><script>var meny = 1;</script>" + "<li>meny</li>" * 2000
+    found = [page + "<p>Fjord Laks Kyst</p>", page + '<script type="application/ld+json">{"name": "Fjord Laks Kyst AS"}</script>', page + "<p>Fjord Laks</p>", "<script>var fjord = 1, laks = 2;</script><style>.kyst {}</style>", page + "<p>post fra Fjord</p>"]
+    rows = [("Fjord Laks Kyst AS", "999999990", "post@fjord.no", "Oslo", "https://fjord.no" if k == 4 else "https://a.no", "Hjem", x) for k, x in enumerate(found)]
+    df = spark.createDataFrame(rows, "n string, o string, e string, m string, u string, t string, x string")
+    got = identity.assess(identity.with_features(df, "n", "o", "e", "m", "u", "t", "x")).select("shared_words", "reason").collect()
+    assert [tuple(r) for r in got] == [(3, "most of the name"), (3, "most of the name"), (2, "half of the name"), (0, "too little"), (1, "mail host and name")]

@@ -18,9 +18,15 @@ PARKED_WORDS = r"(?i)(domain is parked|domenet er til salgs|domain is for sale|k
 
 
 def with_features(df: DataFrame, name: str, number: str, email: str, place: str, url: str, title: str, text: str) -> DataFrame:
-    """Adds the features of (company, page) rows; nulls count as not said."""
+    """Adds the features of (company, page) rows; nulls count as not said.
+
+    ``text`` may be markup.  Words of the name are looked for in all of it but scripts
+    and styles (embedded JSON-LD counts: it names the company), numbers and the place
+    in all of it.
+    """
     wanted = tokens(F.col(name))
-    said = tokens(F.concat_ws(" ", F.col(title), F.substring(F.col(text), 1, 5000)))
+    shown = F.regexp_replace(F.col(text), r"(?is)<(script|style)\b(?![^>]*ld\+json).*?</\1>", " ")
+    said = tokens(F.concat_ws(" ", F.col(title), shown))
     mail_host = F.lower(F.regexp_extract(F.col(email), r"@([^@\s>]+)$", 1))
     numbers = F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?<=\d)[ .](?=\d{3})", ""), F.lit(r"(?<!\d)(\d{9})(?!\d)"), F.lit(1))
     return df.withColumns(
