@@ -41,3 +41,14 @@ def test_names_far_down_a_page(spark):
     df = spark.createDataFrame(rows, "n string, o string, e string, m string, u string, t string, x string")
     got = identity.assess(identity.with_features(df, "n", "o", "e", "m", "u", "t", "x")).select("shared_words", "reason").collect()
     assert [tuple(r) for r in got] == [(3, "most of the name"), (3, "most of the name"), (2, "half of the name"), (0, "too little"), (1, "mail host and name")]
+
+
+def test_every_pair_of_deliveries(spark, tmp_path):
+    jobs = {1: ["j1", "j2"], 2: ["j1"], 3: ["j1", "j3"], 5: []}  # of company a; delivery 4 did not come
+    rows = [(d, f"a{d}", "a", f"t{d}", [(j, f"https://a.no/{j}") for j in own], [("https://a.no",)] if d != 5 else [("https://b.no",)]) for d, own in jobs.items()]
+    rows += [(1, "b1", "b", "t1", [], []), (3, "b3", "b", "t3", [("j9", None)], []), (2, "old", "a", "t1", [("j2", None)], [])]
+    df = spark.createDataFrame(rows, "delivery_no int, snapshot_id string, organisation_number string, captured_at string, jobs array<struct<job_id:string,source_url:string>>, sources array<struct<url:string>>")
+    got = run(spark, tmp_path, "gone_jobs_all", snapshots=df)
+    assert sorted((r.delivery_no, r.organisation_number, r.job_id, r.change_type) for r in got) == [(2, "a", "j2", "REMOVED"), (5, "a", "j1", "OBSERVATION_GAP"), (5, "a", "j3", "OBSERVATION_GAP"), (5, "b", "j9", "REMOVED")]
+    got = run(spark, tmp_path, "unmatched_companies_all")
+    assert sorted((r.delivery_no, r.organisation_number, r.side) for r in got) == [(2, "b", "previous"), (3, "b", "current"), (5, "b", "previous")]

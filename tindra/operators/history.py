@@ -19,20 +19,20 @@ def field_changes(previous: DataFrame, current: DataFrame, key: str, fields: lis
     return pair.select(key, F.explode(differ).alias("c")).select(key, "c.*")
 
 
-def unmatched_keys(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
-    """(key, side): keys that only one of two frames has."""
-    sides = previous.select(key, F.lit(1).alias("_s")).unionByName(current.select(key, F.lit(2).alias("_s")))
-    return sides.groupBy(key).agg(F.min("_s").alias("a"), F.max("_s").alias("b")).where("a = b").select(key, F.when(F.col("a") == 1, "previous").otherwise("current").alias("side"))
+def unmatched_keys(previous: DataFrame, current: DataFrame, *key: str) -> DataFrame:
+    """(key..., side): keys that only one of two frames has."""
+    sides = previous.select(*key, F.lit(1).alias("_s")).unionByName(current.select(*key, F.lit(2).alias("_s")))
+    return sides.groupBy(*key).agg(F.min("_s").alias("a"), F.max("_s").alias("b")).where("a = b").select(*key, F.when(F.col("a") == 1, "previous").otherwise("current").alias("side"))
 
 
-def removed_or_unseen(previous: DataFrame, current: DataFrame, key: list[str], carrier: str, crawled: DataFrame, owner: str) -> DataFrame:
+def removed_or_unseen(previous: DataFrame, current: DataFrame, key: list[str], carrier: str, crawled: DataFrame, *owner: str) -> DataFrame:
     """(key..., change_type) of items that are gone: REMOVED where their carrier was looked at again, else OBSERVATION_GAP.
 
     ``crawled`` has ``owner`` and an array ``urls`` of what was looked at; an item
     without carrier counts as removed.
     """
     gone = previous.join(current.select(*key).distinct(), key, "left_anti")
-    looked = gone.join(crawled.select(owner, "urls"), owner, "left")
+    looked = gone.join(crawled.select(*owner, "urls"), [*owner], "left")
     seen = F.exists(F.coalesce("urls", F.array().cast("array<string>")), lambda u: F.contains(F.col(carrier), u))
     return looked.select(*key, F.when(F.col(carrier).isNull() | F.coalesce(seen, F.lit(False)), "REMOVED").otherwise("OBSERVATION_GAP").alias("change_type"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tindra.functions import text, urls
 from tindra.functions.hashing import content_hash, sequence_hash, set_hash
-from tindra.operators import aggregates, candidates, evidence, extract, history, identity, lookup, ranking, sampling, synthesis
+from tindra.operators import aggregates, candidates, evidence, extract, history, identity, lookup, ranking, sampling, snapshots, synthesis
 from tindra.plans import screen
 from tindra.tables import load
 
@@ -357,6 +357,37 @@ def gone_jobs(spark, folder):
     return history.removed_or_unseen(items.where("delivery_no = 1").drop("delivery_no"), items.where("delivery_no = 2").drop("delivery_no"), ["organisation_number", "job_id"], "source_url", looked, "organisation_number")
 
 
+def _sides(spark, folder, *columns):
+    """Each company's last row of each delivery as the previous and as the current side of a pair; ``delivery_no`` is that of the pair's later delivery."""
+    rows = load(spark, folder, "snapshots").select("delivery_no", "organisation_number", F.struct("captured_at", "snapshot_id").alias("at"), *columns)
+    last = evidence.latest_of_key(rows, ["delivery_no", "organisation_number"], F.col("at")).withColumnRenamed("delivery_no", "_d")
+    tagged = last.join(F.broadcast(snapshots.consecutive(rows, "delivery_no")), "_d").withColumnRenamed("_pair", "delivery_no")  # twice as many rows as there are deliveries
+    return tuple(tagged.where(F.col("_now") == now).select("delivery_no", "organisation_number", *columns) for now in (False, True))
+
+
+_PAIRS = "w AS (SELECT delivery_no AS d, lag(delivery_no) OVER (ORDER BY delivery_no) AS before FROM (SELECT DISTINCT delivery_no FROM snapshots WHERE delivery_no IS NOT NULL))"
+
+
+@query(f"""WITH {_PAIRS}, a AS (SELECT d AS delivery_no, organisation_number FROM snapshots JOIN w ON delivery_no = before), b AS (SELECT delivery_no, organisation_number FROM snapshots JOIN w ON delivery_no = d WHERE before IS NOT NULL)
+SELECT *, 'previous' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'current' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def unmatched_companies_all(spark, folder):
+    """Over every pair of consecutive deliveries; ``unmatched_companies`` compares deliveries 1 and 2."""
+    return history.unmatched_keys(*_sides(spark, folder), "delivery_no", "organisation_number")
+
+
+@query(f"""WITH {_PAIRS}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delivery_no, organisation_number ORDER BY captured_at DESC NULLS LAST, snapshot_id DESC NULLS LAST) AS rn FROM snapshots) WHERE rn = 1),
+j AS (SELECT DISTINCT delivery_no, organisation_number, j.job_id AS job_id, j.source_url AS source_url FROM (SELECT delivery_no, organisation_number, unnest(jobs) AS j FROM s) WHERE j.job_id IS NOT NULL),
+gone AS (SELECT w.d AS delivery_no, j.organisation_number, j.job_id, j.source_url FROM j JOIN w ON j.delivery_no = w.before WHERE NOT EXISTS (SELECT 1 FROM j AS k WHERE k.delivery_no = w.d AND k.organisation_number = j.organisation_number AND k.job_id = j.job_id)),
+u AS (SELECT delivery_no, organisation_number, unnest(sources).url AS url FROM s)
+SELECT delivery_no, organisation_number, job_id, CASE WHEN source_url IS NULL OR EXISTS (SELECT 1 FROM u WHERE u.delivery_no = gone.delivery_no AND u.organisation_number = gone.organisation_number AND contains(gone.source_url, u.url)) THEN 'REMOVED' ELSE 'OBSERVATION_GAP' END AS change_type FROM gone""")
+def gone_jobs_all(spark, folder):
+    """Over every pair of consecutive deliveries; ``gone_jobs`` compares deliveries 1 and 2."""
+    before, after = _sides(spark, folder, "jobs", "sources")
+    items = lambda side: side.select("delivery_no", "organisation_number", F.explode("jobs").alias("j")).select("delivery_no", "organisation_number", "j.job_id", "j.source_url").where("job_id is not null").distinct()
+    looked = after.select("delivery_no", "organisation_number", F.transform("sources", lambda s: s["url"]).alias("urls"))
+    return history.removed_or_unseen(items(before), items(after), ["delivery_no", "organisation_number", "job_id"], "source_url", looked, "delivery_no", "organisation_number")
+
+
 @query("""WITH h AS (SELECT organisation_number, arg_max_null(profile_hash, struct_pack(d := delivery_no, c := captured_at)) AS head FROM snapshots WHERE delivery_no < 4 GROUP BY 1),
 n AS (SELECT organisation_number, arg_max_null(profile_hash, captured_at) AS profile_hash FROM snapshots WHERE delivery_no = 4 GROUP BY 1) SELECT organisation_number, profile_hash FROM n LEFT JOIN h USING (organisation_number) WHERE profile_hash IS DISTINCT FROM head""")
 def new_log_heads(spark, folder):
