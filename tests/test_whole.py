@@ -3,7 +3,7 @@
 import re
 
 import __spark_entry__
-from tindra.operators import identity
+from tindra.operators import identity, sampling
 
 
 def run(spark, tmp_path, name, **tables):
@@ -52,3 +52,12 @@ def test_every_pair_of_deliveries(spark, tmp_path):
     assert sorted((r.delivery_no, r.organisation_number, r.job_id, r.change_type) for r in got) == [(2, "a", "j2", "REMOVED"), (5, "a", "j1", "OBSERVATION_GAP"), (5, "a", "j3", "OBSERVATION_GAP"), (5, "b", "j9", "REMOVED")]
     got = run(spark, tmp_path, "unmatched_companies_all")
     assert sorted((r.delivery_no, r.organisation_number, r.side) for r in got) == [(2, "b", "previous"), (3, "b", "current"), (5, "b", "previous")]
+
+
+def test_samples_of_repeated_keys(spark):
+    rows = spark.range(100_000).selectExpr("cast(id % 10 as string) as key", "id")
+    for seed in range(3):
+        hashed = sampling.least_hashed(rows, "key", 50, seed).collect()
+        ranked = sampling.bottom_k(rows, "key", 50, f"s{seed}").collect()
+        assert len(hashed) == len(ranked) == 50
+        assert {r.key for r in ranked} == {sampling.bottom_k(rows.select("key").distinct(), "key", 1, f"s{seed}").first().key}

@@ -9,19 +9,23 @@ from tindra.functions.hashing import rank_key
 from tindra.session import checkpoint
 
 
-def _share(df: DataFrame, k: int) -> DataFrame:
-    """One row: the share of rows whose hash is looked at for the ``k`` least, several times what is needed."""
-    return df.agg(F.least(F.lit(4.0 * k + 200) / F.greatest(F.count("*"), F.lit(1)), F.lit(1.0)).alias("_share"))
+def _share(df: DataFrame, key: str, k: int) -> DataFrame:
+    """One row: the share of hashes that is looked at for the ``k`` least rows, several times what is needed.
+
+    Rows of one key share a hash, so it is taken from the distinct keys; their count is
+    good to some per cent, and a bound is all that it gives.
+    """
+    return df.agg(F.least(F.lit(4.0 * k + 200) / F.greatest(F.approx_count_distinct(key), F.lit(1)), F.lit(1.0)).alias("_share"))
 
 
 def bottom_k(df: DataFrame, key: str, k: int, seed: str) -> DataFrame:
     """The ``k`` rows of least rank, with the column ``rank_hash``; equal keys are told apart by nothing and tie.
 
     A top list takes ``k`` rows from every task, so ranks above a bound that the number of
-    rows sets are dropped first; some 4 k rows are left (fewer than k would be by
-    chance less than once in 10^20).
+    distinct keys sets are dropped first; the rows of some 4 k keys are left (fewer
+    than k keys would be by chance less than once in 10^20).
     """
-    ranked = df.withColumn("rank_hash", rank_key(seed, F.col(key))).crossJoin(F.broadcast(_share(df, k)))  # one row
+    ranked = df.withColumn("rank_hash", rank_key(seed, F.col(key))).crossJoin(F.broadcast(_share(df, key, k)))  # one row
     bound = F.lpad(F.lower(F.hex(F.floor(F.col("_share") * 4294967295).cast("bigint"))), 8, "0")
     return ranked.where(F.substring("rank_hash", 1, 8) <= bound).drop("_share").orderBy("rank_hash", key).limit(k)
 
@@ -29,7 +33,7 @@ def bottom_k(df: DataFrame, key: str, k: int, seed: str) -> DataFrame:
 def least_hashed(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """The ``k`` rows of least 64-bit hash of seed and key, as ``bottom_k`` but for keys of any type and without the hash."""
     mixed = F.xxhash64(F.lit(seed), F.col(key))
-    ranked = df.withColumns({"_u": F.shiftrightunsigned(mixed, 32), "_h": mixed}).crossJoin(F.broadcast(_share(df, k)))  # one row
+    ranked = df.withColumns({"_u": F.shiftrightunsigned(mixed, 32), "_h": mixed}).crossJoin(F.broadcast(_share(df, key, k)))  # one row
     return ranked.where(F.col("_u") <= F.col("_share") * 4294967295).orderBy("_u", "_h", key).limit(k).drop("_u", "_h", "_share")
 
 
