@@ -63,18 +63,21 @@ def walk(candidates: DataFrame, key: str, order: list[Column], skipped: Column,
     """Adds ``outcome`` to candidates that are tried in order until one is verified or ``most`` were tried.
 
     skipped: never tried and costs nothing; after a verified one: early_end; beyond
-    ``most``: capped; else verified or rejected.  Running counts over the candidates of
-    one company, which are few.
+    ``most``: capped; else verified or rejected.  ``order`` has to be total and ascending.
+
+    Only the first ``most`` that are tried decide where a walk ends, and a group limit
+    leaves no more than those of each key; every candidate is then compared with the two
+    places at which its walk ended, so a key of any number of candidates is never in one task.
     """
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    skip, hit = F.coalesce(skipped, F.lit(False)), F.coalesce(verified, F.lit(False))
-    tried = candidates.withColumns({"_skip": skip, "_hit": hit})
-    tried = tried.withColumn("_n", F.coalesce(F.sum((~F.col("_skip")).cast("int")).over(before), F.lit(0)))
-    usable = F.col("_hit") & ~F.col("_skip") & (F.col("_n") < most)
-    tried = tried.withColumn("_usable", usable)
-    tried = tried.withColumn("_done", F.coalesce(F.max(F.col("_usable").cast("int")).over(before), F.lit(0)))
-    outcome = F.when(F.col("_done") == 1, "early_end").when(F.col("_skip"), "skipped").when(F.col("_n") >= most, "capped").when(F.col("_hit"), "verified").otherwise("rejected")
-    return tried.withColumn("outcome", outcome).drop("_skip", "_hit", "_n", "_usable", "_done")
+    tagged = candidates.withColumns({"_skip": F.coalesce(skipped, F.lit(False)), "_hit": F.coalesce(verified, F.lit(False)), "_at": F.struct(*order)})
+    w = Window.partitionBy(key).orderBy(*order)
+    tried = tagged.where(~F.col("_skip")).select(key, "_at", "_hit", F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= most)
+    ends = tried.groupBy(key).agg(F.min(F.when(F.col("_hit"), F.col("_at"))).alias("_won"), F.max(F.when(F.col("_rn") == most, F.col("_at"))).alias("_last"))
+    ends = ends.withColumnRenamed(key, "_k")
+    joined = tagged.join(ends, F.col(key).eqNullSafe(F.col("_k")), "left")
+    over = lambda end: F.coalesce(F.col("_at") > F.col(end), F.lit(False))
+    outcome = F.when(over("_won"), "early_end").when(F.col("_skip"), "skipped").when(over("_last"), "capped").when(F.col("_hit"), "verified").otherwise("rejected")
+    return joined.withColumn("outcome", outcome).drop("_skip", "_hit", "_at", "_k", "_won", "_last")
 
 
 def walk_summary(walked: DataFrame, key: str) -> DataFrame:

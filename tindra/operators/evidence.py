@@ -41,9 +41,14 @@ def state_of_fetch(status: Column, records: Column | None = None) -> Column:
     )
 
 
-def latest_of_key(df: DataFrame, key: list[str], version: Column) -> DataFrame:
-    """The row of each key with the greatest version; combines on the map side, so redeliveries do not travel."""
-    rest = [c for c in df.columns if c not in key]
+def latest_of_key(df: DataFrame, key: list[str], version: Column, columns: list[str] | None = None) -> DataFrame:
+    """The row of each key with the greatest version; combines on the map side, so redeliveries do not travel.
+
+    With ``columns`` only those come out beside the key, and only those are read.
+    """
+    rest = [c for c in (df.columns if columns is None else columns) if c not in key]
+    if not rest:
+        return df.select(*key).distinct()
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*key, "_r.*")
 
 

@@ -22,7 +22,7 @@ def _element(block: Column, name: str) -> Column:
 
 
 def html_facts(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, title, headline, links, hosts): what a page says of itself; scripts and styles do not count."""
+    """(key, title, headline, links): what a page says of itself; scripts and styles do not count."""
     body = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1>", " ")
     hrefs = F.array_distinct(F.filter(F.regexp_extract_all(body, F.lit(r"""(?i)<a\b[^>]*?href\s*=\s*["']([^"'#]+)"""), F.lit(1)), lambda x: x != ""))
     return df.where(F.col(html).isNotNull()).select(key, _element(body, "title").alias("title"), _element(body, "h1").alias("headline"), F.size(hrefs).alias("links"))
@@ -66,6 +66,11 @@ def json_ld(df: DataFrame, key: str, html: str, kind: str) -> DataFrame:
     return hit.select(key, (F.col("_s") * 1000 + F.col("_i")).alias("place"), "item")
 
 
+def is_json(c: Column) -> Column:
+    """Whether a text is a JSON object or list."""
+    return F.coalesce(F.get_json_object(c, "$").isNotNull() & F.trim(c).rlike(r"^[\[{]"), F.lit(False))
+
+
 def json_fields(df: DataFrame, body: str, fields: dict[str, str]) -> DataFrame:
     """Adds columns from JSON bodies by path; null where the body is no JSON."""
     return df.withColumns({name: F.get_json_object(F.col(body), path) for name, path in fields.items()})

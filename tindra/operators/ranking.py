@@ -6,9 +6,13 @@ that Spark limits the groups before the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tindra.session import checkpoint
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key; rows with a null or empty key are dropped."""
@@ -69,29 +73,40 @@ def quota_then_rest(df: DataFrame, key: str, kind: str, order: list[Column], quo
 def either_key(df: DataFrame, group: str, first: str, second: str, order: list[str]) -> DataFrame:
     """Of each group the rows, in order, of which neither key was seen in a row that was kept.
 
-    A pass that depends on what came before, so it folds over the group's rows.  A row
-    with both keys of an earlier one falls whatever came of that, so such copies are
-    aggregated away first; a row whose keys are both null is always kept and never
-    enters the fold.  What is left of a group is a list of different items.
+    What is kept depends on what was kept before.  A row that comes first among the open
+    rows of both of its keys is kept whatever becomes of the others, and every open row
+    that shares a key with it falls; so rounds of two aggregations decide all groups at
+    once and no group is ever in one task.  Each round is checkpointed, and every round
+    decides at least the first open row of each group.
+
+    A null key is never seen before; a row whose keys are both null is kept.  Of copies
+    with both keys the same the first in ``order`` takes part.
     """
     alone = df.where(F.col(first).isNull() & F.col(second).isNull())
     rest = [c for c in df.columns if c not in (group, first, second)]
     once = df.where(F.col(first).isNotNull() | F.col(second).isNotNull()).groupBy(group, first, second).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    columns = df.columns
-    df = once.select(group, first, second, "_r.*").select(*columns)
-    item = F.struct(*order, F.col(first).alias("_a"), F.col(second).alias("_b"), F.struct(*df.columns).alias("_row"))
-    groups = df.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    row_type = df.schema.simpleString()
-    a_type, b_type = (df.schema[c].dataType.simpleString() for c in (first, second))
-    start = F.struct(F.array().cast(f"array<{a_type}>").alias("a"), F.array().cast(f"array<{b_type}>").alias("b"), F.array().cast(f"array<{row_type}>").alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
-        seen = F.coalesce(F.array_contains(state["a"], x["_a"]), F.lit(False)) | F.coalesce(F.array_contains(state["b"], x["_b"]), F.lit(False))
-        add = lambda values, v: F.when(seen | v.isNull(), values).otherwise(F.array_append(values, v))
-        return F.struct(add(state["a"], x["_a"]).alias("a"), add(state["b"], x["_b"]).alias("b"), F.when(seen, state["kept"]).otherwise(F.array_append(state["kept"], x["_row"])).alias("kept"))
-
-    kept = groups.select(F.explode(F.aggregate("_items", start, step, lambda s: s["kept"])).alias("r"))
-    return kept.select("r.*").unionByName(alone)
+    open_rows = checkpoint(once.select(F.col(group).alias("_g"), F.col(first).alias("_a"), F.col(second).alias("_b"), F.struct(*(F.col(f"_r.{c}") for c in order), first, second).alias("_at"), "_r"))
+    decided = []
+
+    def leads(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.where(F.col(key).isNotNull()).groupBy("_g", key).agg(F.min("_at").alias(name))
+
+    def on(rows: DataFrame, side: DataFrame, key: str, how: str) -> DataFrame:
+        side = side.withColumnsRenamed({"_g": "_g2", key: "_k2"})
+        return rows.join(side, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col(key) == F.col("_k2")), how).drop("_g2", "_k2")
+
+    while not open_rows.isEmpty():
+        marked = on(on(open_rows, leads(open_rows, "_a", "_ma"), "_a", "left"), leads(open_rows, "_b", "_mb"), "_b", "left")
+        is_first = lambda m: F.coalesce(F.col("_at") == F.col(m), F.lit(True))
+        marked = checkpoint(marked.withColumn("_keep", is_first("_ma") & is_first("_mb")).drop("_ma", "_mb"))
+        kept = marked.where("_keep").drop("_keep")
+        decided.append(kept)
+        open_rows = marked.where("not _keep").drop("_keep")
+        for key in ("_a", "_b"):
+            open_rows = on(open_rows, kept.where(F.col(key).isNotNull()).select("_g", key).distinct(), key, "left_anti")
+        open_rows = checkpoint(open_rows)
+    back = [d.select(F.col("_g").alias(group), F.col("_a").alias(first), F.col("_b").alias(second), *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*df.columns) for d in decided]
+    return reduce(DataFrame.unionByName, back, alone)
 
 
 def best_of(df: DataFrame, key: list[str], score: Column, tie: list[Column]) -> DataFrame:

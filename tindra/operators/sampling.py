@@ -9,32 +9,39 @@ from tindra.functions.hashing import rank_key
 from tindra.session import checkpoint
 
 
-def _share(df: DataFrame, key: str, k: int) -> DataFrame:
-    """One row: the share of hashes that is looked at for the ``k`` least rows, several times what is needed.
+#: Leading bits of a hash by which ranks are counted: at most 2^20 counts, whatever the number of rows.
+_BITS = 20
 
-    Rows of one key share a hash, so it is taken from the distinct keys; their count is
-    good to some per cent, and a bound is all that it gives.
+
+def _bound(df: DataFrame, prefix: Column, k: int) -> DataFrame:
+    """One row with ``_bound``: the least prefix up to which at least ``k`` rows lie, the greatest there is where there are fewer.
+
+    Rows are counted by the leading bits of their hash, so the bound is exact for any
+    number of rows of one key; the counts combine on the map side.
     """
-    return df.agg(F.least(F.lit(4.0 * k + 200) / F.greatest(F.approx_count_distinct(key), F.lit(1)), F.lit(1.0)).alias("_share"))
+    counts = df.groupBy(prefix.alias("_p")).agg(F.count("*").alias("_n"))
+    through = counts.select("_p", F.sum("_n").over(Window.orderBy("_p")).alias("_t"))  # over 2^_BITS rows at most
+    return through.agg(F.coalesce(F.min(F.when(F.col("_t") >= k, F.col("_p"))), F.max("_p")).alias("_bound"))
 
 
 def bottom_k(df: DataFrame, key: str, k: int, seed: str) -> DataFrame:
-    """The ``k`` rows of least rank, with the column ``rank_hash``; equal keys are told apart by nothing and tie.
+    """The ``k`` rows of least rank, with the column ``rank_hash``; rows of equal keys tie and are told apart by nothing; null keys are left out.
 
-    A top list takes ``k`` rows from every task, so ranks above a bound that the number of
-    distinct keys sets are dropped first; the rows of some 4 k keys are left (fewer
-    than k keys would be by chance less than once in 10^20).
+    A top list takes ``k`` rows from every task, so ranks above an exact bound are
+    dropped first.  Only the key is read for the bound.
     """
-    ranked = df.withColumn("rank_hash", rank_key(seed, F.col(key))).crossJoin(F.broadcast(_share(df, key, k)))  # one row
-    bound = F.lpad(F.lower(F.hex(F.floor(F.col("_share") * 4294967295).cast("bigint"))), 8, "0")
-    return ranked.where(F.substring("rank_hash", 1, 8) <= bound).drop("_share").orderBy("rank_hash", key).limit(k)
+    prefix = F.substring(rank_key(seed, F.col(key)), 1, _BITS // 4)
+    bound = _bound(df.where(F.col(key).isNotNull()), prefix, k)
+    ranked = df.where(F.col(key).isNotNull()).withColumn("rank_hash", rank_key(seed, F.col(key))).crossJoin(F.broadcast(bound))  # one row
+    return ranked.where(F.substring("rank_hash", 1, _BITS // 4) <= F.col("_bound")).drop("_bound").orderBy("rank_hash", key).limit(k)
 
 
 def least_hashed(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """The ``k`` rows of least 64-bit hash of seed and key, as ``bottom_k`` but for keys of any type and without the hash."""
     mixed = F.xxhash64(F.lit(seed), F.col(key))
-    ranked = df.withColumns({"_u": F.shiftrightunsigned(mixed, 32), "_h": mixed}).crossJoin(F.broadcast(_share(df, key, k)))  # one row
-    return ranked.where(F.col("_u") <= F.col("_share") * 4294967295).orderBy("_u", "_h", key).limit(k).drop("_u", "_h", "_share")
+    bound = _bound(df, F.shiftrightunsigned(mixed, 64 - _BITS), k)
+    ranked = df.withColumns({"_u": F.shiftrightunsigned(mixed, 32), "_h": mixed}).crossJoin(F.broadcast(bound))  # one row
+    return ranked.where(F.shiftrightunsigned("_h", 64 - _BITS) <= F.col("_bound")).orderBy("_u", "_h", key).limit(k).drop("_u", "_h", "_bound")
 
 
 def preserve_then_fill(df: DataFrame, key: str, preserved: DataFrame, k: int, seed: str) -> DataFrame:

@@ -75,6 +75,8 @@ LAYOUTS = [
     *(re.compile(d + "(?P<kl>a)" + t + _ZONE) for d in (_COMPACT, _ORDINAL, _WEEK) for t in (_TIME_COMPACT, _TIME)),
 ]
 _DAY_US = 86_400_000_000
+#: Seconds: bounds of the transition tables, and the 400 years after which the calendar repeats.
+_YEAR_1800, _YEAR_2500, _CYCLE = -5_364_662_400, 16_725_225_600, 146_097 * 86_400
 #: Outside of years 1 to 9999 there is no normal form.
 _LOWEST, _HIGHEST = (int(np.datetime64(x, "us").astype(np.int64)) for x in ("0001-01-01", "9999-12-31T23:59:59.999999"))
 
@@ -91,30 +93,46 @@ class _Classes(dict):
 _CLASSES = _Classes()
 
 
-@lru_cache(maxsize=65536)
 def parser_of(mask: str) -> tuple[tuple[str, int, int], ...] | None:
     """The fields (name, start, end) of a mask, or None where no layout has it."""
+    return _remembered(mask) if len(mask) <= 256 else _looked_up(mask)  # long masks are rare and would fill the memory
+
+
+def _looked_up(mask: str) -> tuple[tuple[str, int, int], ...] | None:
     for layout in LAYOUTS:
         if found := layout.fullmatch(mask):
             return tuple((k, *found.span(k)) for k, v in found.groupdict().items() if v is not None and k != "_p")
     return None
 
 
+_remembered = lru_cache(maxsize=65536)(_looked_up)
+
+
 def zone_database_version() -> str:
+    """The version of the installed time zone database: of its package, else of the system's files."""
     try:
         import tzdata
 
         return tzdata.IANA_VERSION
     except ImportError:
-        return "system"
+        pass
+    from pathlib import Path
+    from zoneinfo import TZPATH
+
+    for folder in TZPATH:
+        if (named := Path(folder, "tzdata.zi")).is_file():
+            return named.open(encoding="utf-8").readline().split()[-1]
+        if (named := Path(folder, "+VERSION")).is_file():
+            return named.read_text().strip()
+    return "system"
 
 
 @lru_cache(maxsize=64)
 def transitions(zone: str, version: str | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """(UTC microseconds from which, offset in microseconds) of a zone, by version of the database; None if unknown.
 
-    Found by probing each day of the years 1900 to 2100 and halving to the second.
-    A ``version`` other than the installed one is an error, so that two runs never
+    Found by probing each week of the years 1800 to 2500 and halving to the second; what
+    comes later repeats every 400 years.  A ``version`` other than the installed one is an error, so that two runs never
     mix tables unseen.
     """
     from datetime import datetime, timedelta, timezone
@@ -131,7 +149,7 @@ def transitions(zone: str, version: str | None = None) -> tuple[np.ndarray, np.n
     def offset(second: int) -> int:
         return int((epoch + timedelta(seconds=second)).astimezone(info).utcoffset().total_seconds())
 
-    day, start, end = 86_400, -70 * 365 * 86_400, 130 * 365 * 86_400
+    day, start, end = 86_400, _YEAR_1800, _YEAR_2500
     at, offsets = [_LOWEST // 1_000_000], [offset(start)]
     for low in range(start, end, 7 * day):
         high = low + 7 * day
@@ -152,7 +170,8 @@ def to_utc(local: np.ndarray, zone: str, version: str | None = None) -> tuple[np
     if table is None:
         return local, np.zeros(len(local), dtype=bool)
     at, offsets = table
-    of = lambda utc: offsets[np.maximum(np.searchsorted(at, utc, side="right") - 1, 0)]
+    turns = np.maximum(local // 1_000_000 - _YEAR_2500 + 40 * 86_400 + _CYCLE, 0) // _CYCLE * (_CYCLE * 1_000_000)  # whole 400-year cycles beyond the table
+    of = lambda utc: offsets[np.maximum(np.searchsorted(at, utc - turns, side="right") - 1, 0)]
     before, after = of(local - _DAY_US), of(local + _DAY_US)
     first, second = local - before, local - after
     first_ok, second_ok = of(first) == before, of(second) == after
@@ -270,7 +289,7 @@ def normal_forms(values: pd.Series, zone: str = "UTC", version: str | None = Non
     rows = [(k, v.strip()) for k, v in enumerate(values) if isinstance(v, str)]
     by_mask: dict[str, tuple[list[int], list[str]]] = {}
     for k, text in rows:
-        if 6 <= len(text) <= 64:
+        if text:
             at, texts = by_mask.setdefault(text.translate(_CLASSES), ([], []))
             at.append(k)
             texts.append(text)
@@ -283,11 +302,14 @@ def normal_forms(values: pd.Series, zone: str = "UTC", version: str | None = Non
 def normalise(value: Column, zone: str = "UTC", version: str | None = None) -> Column:
     """Column of the normal form: ``YYYY-MM-DD`` or ``YYYY-MM-DDTHH:MM:SS.ffffffZ``, null where the text names neither."""
 
+    version = version or zone_database_version()  # the driver's, which every worker has to have too
+
     @F.pandas_udf(StringType())
     def forms(texts: pd.Series) -> pd.Series:
         return normal_forms(texts, zone, version)
 
-    return forms(value)
+    # Marked so that a filter on the result is not pushed below it as a second call.
+    return forms.asNondeterministic()(value)
 
 
 #: A text of one of these shapes is its own normal form or has none.
@@ -304,7 +326,7 @@ def rewritten(df: DataFrame, key: str, fields: list[str], zone: str = "UTC", ver
         F.col(key).cast("string").alias("record_id"),
         F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in fields))).alias("v"),
     ).select("record_id", "v.field", "v.value")
-    odd = long.where(F.col("value").isNotNull() & (F.length(F.col("value")) >= 6) & ~F.col("value").rlike(_IN_FORM))
+    odd = long.where(F.col("value").rlike("[0-9]") & ~F.col("value").rlike(_IN_FORM))  # every form holds a digit
     return (
         odd.withColumn("normal_form", normalise(F.col("value"), zone, version))
         .where(F.col("normal_form").isNotNull() & (F.col("normal_form") != F.col("value")))

@@ -14,19 +14,20 @@ from tindra.tables import load
 AS_OF = "2026-10-04"
 
 
-def _registry(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each company: of redeliveries the last to arrive."""
-    version = F.struct("delivered_at", F.coalesce("employees", F.lit(-1)), F.coalesce("name", F.lit("")))
-    return evidence.latest_of_key(load(spark, folder, "registry"), ["organisation_number"], version)
+def _registry(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The named columns of each company, one row each: of redeliveries the last to arrive (their texts agree)."""
+    version = F.struct("delivered_at", F.coalesce("employees", F.lit(-1))) if columns else F.lit(0)
+    return evidence.latest_of_key(load(spark, folder, "registry"), ["organisation_number"], version, list(columns))
 
 
 _REGISTRY = """reg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY organisation_number
   ORDER BY delivered_at DESC, coalesce(employees, -1) DESC, coalesce(name, '') DESC) AS rn FROM registry) WHERE rn = 1)"""
 
 
-def _evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each evidence id, of redeliveries the last to arrive, with its published state."""
-    one = evidence.latest_of_key(load(spark, folder, "evidence"), ["evidence_id"], F.struct("ingested_at", F.coalesce("status", F.lit(""))))
+def _evidence(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The named columns of each evidence id, one row each, of redeliveries the last to arrive, with its published state."""
+    version = F.struct("ingested_at", F.coalesce("status", F.lit("")))
+    one = evidence.latest_of_key(load(spark, folder, "evidence"), ["evidence_id"], version, ["status", *columns])
     return one.withColumn("state", evidence.state(F.col("status")))
 
 
@@ -59,7 +60,7 @@ def query(sql: str | None = None):
 
 @query(f"WITH {_REGISTRY} SELECT organisation_number, sha256('s1:' || organisation_number) AS rank_hash FROM reg ORDER BY 2, 1 LIMIT 50")
 def hash_rank_sample(spark, folder):
-    return sampling.bottom_k(_registry(spark, folder).select("organisation_number"), "organisation_number", 50, "s1")
+    return sampling.bottom_k(_registry(spark, folder), "organisation_number", 50, "s1")
 
 
 @query(f"""WITH {_REGISTRY},
@@ -86,13 +87,13 @@ def _stratum():
 
 @query(f"WITH {_REGISTRY} SELECT {_STRATUM} AS stratum, count(*) AS n FROM reg GROUP BY 1")
 def stratum_counts(spark, folder):
-    return _registry(spark, folder).groupBy(_stratum().alias("stratum")).agg(F.count("*").alias("n"))
+    return _registry(spark, folder, "legal_form", "employees", "website").groupBy(_stratum().alias("stratum")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_REGISTRY} SELECT organisation_number, stratum, CAST(place AS INT) AS place FROM (SELECT organisation_number, {_STRATUM} AS stratum,
   row_number() OVER (PARTITION BY {_STRATUM} ORDER BY sha256('s3:' || organisation_number), organisation_number) AS place FROM reg) WHERE place <= 3""")
 def stratified_sample(spark, folder):
-    rows = _registry(spark, folder).select("organisation_number", "legal_form", "employees", "website")
+    rows = _registry(spark, folder, "legal_form", "employees", "website")
     return sampling.per_stratum(rows, "organisation_number", _stratum(), 3, "s3").select("organisation_number", "stratum", "place")
 
 
@@ -107,7 +108,7 @@ def one_per_host(spark, folder):
 @query(f"""WITH {_REGISTRY}, n AS (SELECT organisation_number, row_number() OVER (ORDER BY organisation_number) - 1 AS position FROM reg),
 s AS (SELECT greatest(count(*) // 25, 1) AS step FROM reg) SELECT organisation_number, position FROM n, s WHERE position % step = 0 AND position < step * 25""")
 def step_sample(spark, folder):
-    return sampling.every_step(_registry(spark, folder).select("organisation_number"), [F.col("organisation_number")], 25)
+    return sampling.every_step(_registry(spark, folder), [F.col("organisation_number")], 25)
 
 
 @query(f"""WITH {_REGISTRY} SELECT CASE WHEN employees >= 10 AND coalesce(website, '') <> '' THEN 'larger with site' WHEN employees >= 10 THEN 'larger without site'
@@ -115,7 +116,7 @@ def step_sample(spark, folder):
 def cohorts(spark, folder):
     large, site = F.coalesce(F.col("employees") >= 10, F.lit(False)), F.coalesce(F.col("website"), F.lit("")) != ""
     cohort = F.when(large & site, "larger with site").when(large, "larger without site").when(site, "smaller with site").otherwise("smaller without site")
-    return _registry(spark, folder).groupBy(cohort.alias("cohort")).agg(F.count("*").alias("n"), F.min("organisation_number").alias("first"))
+    return _registry(spark, folder, "employees", "website").groupBy(cohort.alias("cohort")).agg(F.count("*").alias("n"), F.min("organisation_number").alias("first"))
 
 
 # Lookups
@@ -124,27 +125,26 @@ _REQUESTED = "req AS (SELECT organisation_number, row_number() OVER (ORDER BY or
 
 
 def _requested(spark, folder):
-    from pyspark.sql import Window
-
-    return load(spark, folder, "fresh_companies").select("organisation_number").distinct().withColumn("ordinal", F.row_number().over(Window.orderBy("organisation_number")).cast("bigint"))
+    keys = load(spark, folder, "fresh_companies").select("organisation_number").distinct()
+    return sampling.numbered(keys, [F.col("organisation_number")]).select("organisation_number", (F.col("position") + 1).alias("ordinal"))
 
 
 @query(f"""WITH {_REGISTRY}, {_REQUESTED}, a AS (SELECT organisation_number, name FROM reg WHERE coalesce(website, '') <> ''), f AS (SELECT organisation_number, min(name) AS name FROM fresh_companies GROUP BY 1)
 SELECT req.organisation_number, req.ordinal, CASE WHEN a.organisation_number IS NOT NULL THEN a.name ELSE f.name END AS name, CASE WHEN a.organisation_number IS NOT NULL THEN 'registry' WHEN f.organisation_number IS NOT NULL THEN 'fresh' END AS source
 FROM req LEFT JOIN a USING (organisation_number) LEFT JOIN f ON f.organisation_number = req.organisation_number""")
 def lookup_with_fallback(spark, folder):
-    primary = _registry(spark, folder).where("coalesce(website, '') <> ''")
+    primary = _registry(spark, folder, "name", "website").where("coalesce(website, '') <> ''")
     return lookup.with_fallback(_requested(spark, folder), [("registry", primary), ("fresh", load(spark, folder, "fresh_companies"))], "organisation_number", ["name"])
 
 
 @query(f"WITH {_REGISTRY}, {_REQUESTED} SELECT req.* FROM req ANTI JOIN (SELECT organisation_number FROM reg WHERE coalesce(website, '') <> '') USING (organisation_number)")
 def lookup_missing(spark, folder):
-    return lookup.missing(_requested(spark, folder), _registry(spark, folder).where("coalesce(website, '') <> ''"), "organisation_number")
+    return lookup.missing(_requested(spark, folder), _registry(spark, folder, "website").where("coalesce(website, '') <> ''"), "organisation_number")
 
 
 @query(f"WITH {_REGISTRY}, {_REQUESTED} SELECT req.organisation_number, req.ordinal, reg.name IS NOT NULL OR reg.legal_form IS NOT NULL AS found, reg.name, reg.legal_form FROM req LEFT JOIN reg USING (organisation_number)")
 def ordered_lookup(spark, folder):
-    return lookup.lookup(_requested(spark, folder), _registry(spark, folder).select("organisation_number", "name", "legal_form"), "organisation_number", "ordinal")
+    return lookup.lookup(_requested(spark, folder), _registry(spark, folder, "name", "legal_form"), "organisation_number", "ordinal")
 
 
 @query("SELECT organisation_number, count(*) AS n FROM registry GROUP BY 1 HAVING count(*) > 1")
@@ -157,7 +157,7 @@ def repeated_keys(spark, folder):
 
 @query(f"WITH {_EVIDENCE} SELECT field, count(*) FILTER (state = 'available') AS available, count(*) FILTER (state = 'not_available') AS not_available, count(*) FILTER (state = 'blocked') AS blocked, count(*) FILTER (state = 'not_applicable') AS not_applicable, count(*) FILTER (state = 'ambiguous') AS ambiguous, count(*) FILTER (state = 'failed') AS failed FROM ev GROUP BY field")
 def state_by_module(spark, folder):
-    return aggregates.state_table(_evidence(spark, folder), "field", "state", evidence.STATES)
+    return aggregates.state_table(_evidence(spark, folder, "field"), "field", "state", evidence.STATES)
 
 
 @query("""SELECT status, CASE WHEN status = 200 THEN 'available' WHEN status IN (404, 410) THEN 'not_available' WHEN status IN (401, 403, 429, 451) THEN 'blocked' ELSE 'failed' END AS state, count(*) AS n FROM fetch_results GROUP BY 1, 2""")
@@ -179,11 +179,14 @@ def provenance_violations(spark, folder):
     return load(spark, folder, "evidence").groupBy(broken.alias("violated")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT sha256(body) AS sha256, 'page' AS kind, any_value(length(body)) AS characters,
-  sha256(body) NOT IN (SELECT sha256(body) FROM fetch_results WHERE body IS NOT NULL AND fetch_id % 2 = 1) AS is_new FROM fetch_results WHERE body IS NOT NULL GROUP BY 1""")
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetch_id, content_sha256) AS turn FROM fetch_results)
+SELECT sha256(body) AS sha256, 'page' AS kind, any_value(length(body)) AS characters,
+  sha256(body) NOT IN (SELECT sha256(body) FROM n WHERE body IS NOT NULL AND turn = 1) AS is_new FROM n WHERE body IS NOT NULL GROUP BY 1""")
 def content_store(spark, folder):
-    pages = load(spark, folder, "fetch_results").withColumn("kind", F.lit("page"))
-    seen = evidence.store_bodies(pages.where("fetch_id % 2 = 1"), "body", "kind")
+    """All bodies; new are those that no first fetch of an address brought."""
+    pages = load(spark, folder, "fetch_results").select("fetch_id", "url", "content_sha256", "body").withColumn("kind", F.lit("page"))
+    first = ranking.newest(pages, "url", 1, [F.col("fetch_id"), F.col("content_sha256")])
+    seen = evidence.store_bodies(first, "body", "kind")
     return evidence.store_bodies(pages, "body", "kind", seen).select("sha256", "kind", F.length("body").cast("bigint").alias("characters"), "is_new")
 
 
@@ -200,7 +203,7 @@ def attached_pages(spark, folder):
 SELECT organisation_number, field, CASE WHEN now.s = 'failed' AND good IS NOT NULL THEN good.s ELSE now.s END AS state, CASE WHEN now.s = 'failed' AND good IS NOT NULL THEN good.i ELSE now.i END AS evidence_id, now.s = 'failed' AND good IS NOT NULL AS carried_forward FROM k""")
 def carried_forward(spark, folder):
     key, version = ["organisation_number", "field"], F.struct("ingested_at", "state", "evidence_id")
-    rows = _evidence(spark, folder).select(*key, "state", "evidence_id", "ingested_at")
+    rows = _evidence(spark, folder, *key, "ingested_at").select(*key, "state", "evidence_id", "ingested_at")
     current = evidence.latest_of_key(rows, key, version).drop("ingested_at")
     previous = evidence.latest_of_key(rows.where("state = 'available'"), key, version).drop("ingested_at")
     return evidence.carry_forward(current, previous, key)
@@ -222,18 +225,11 @@ _WORDS = "list_filter(regexp_extract_all(" + _FOLD + ", '([a-z0-9]+)', 1), lambd
 
 @query(f"""WITH {_REGISTRY} SELECT organisation_number, array_to_string({_WORDS.format("coalesce(name, '')")}, ' ') AS words, regexp_replace({_FOLD.format("coalesce(name, '')")}, '[^a-z0-9]', '', 'g') AS compact FROM reg""")
 def name_words(spark, folder):
-    return _registry(spark, folder).select("organisation_number", F.array_join(text.tokens(F.col("name")), " ").alias("words"), text.compact(F.col("name")).alias("compact"))
-
-
-@query("""SELECT activity_id, nullif(substring(trim(regexp_replace(regexp_replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), '( - les mer| » kontakt oss)$', '', 'i'), ' [|»] [^|»]*$', '')), 1, 300), '') AS title FROM (SELECT DISTINCT activity_id, title FROM activities) WHERE NOT regexp_matches(title, '[^\\x00-\\x7eæøåÆØÅ»«–]')""")
-def clean_titles(spark, folder):
-    rows = load(spark, folder, "activities").select("activity_id", "title").distinct().where(~F.col("title").rlike("[^\\x00-\\x7eæøåÆØÅ»«–]"))
-    return rows.select("activity_id", text.clean_title(F.col("title")).alias("title"))
+    return _registry(spark, folder, "name").select("organisation_number", F.array_join(text.tokens(F.col("name")), " ").alias("words"), text.compact(F.col("name")).alias("compact"))
 
 
 @query("""SELECT activity_id, nullif(substring(trim(regexp_replace(regexp_replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), '( - les mer| » kontakt oss)$', '', 'i'), ' [|»] [^|»]*$', '')), 1, 300), '') AS title FROM (SELECT DISTINCT activity_id, title FROM activities)""")
-def clean_titles_all(spark, folder):
-    """Every activity, whatever its title's characters; ``clean_titles`` leaves those out that its SQL leaves out."""
+def clean_titles(spark, folder):
     rows = load(spark, folder, "activities").select("activity_id", "title").distinct()
     return rows.select("activity_id", text.clean_title(F.col("title")).alias("title"))
 
@@ -338,25 +334,6 @@ def head_count_changes(spark, folder):
     return history.field_changes(first, last, "organisation_number", ["employees"])
 
 
-@query("""WITH a AS (SELECT DISTINCT organisation_number FROM snapshots WHERE delivery_no = 1), b AS (SELECT DISTINCT organisation_number FROM snapshots WHERE delivery_no = 2)
-SELECT organisation_number, 'previous' AS side FROM a ANTI JOIN b USING (organisation_number) UNION ALL SELECT organisation_number, 'current' FROM b ANTI JOIN a USING (organisation_number)""")
-def unmatched_companies(spark, folder):
-    rows = load(spark, folder, "snapshots")
-    return history.unmatched_keys(rows.where("delivery_no = 1"), rows.where("delivery_no = 2"), "organisation_number")
-
-
-@query("""WITH s AS (SELECT delivery_no, organisation_number, arg_max_null(jobs, captured_at) AS jobs, arg_max_null(sources, captured_at) AS sources FROM snapshots WHERE delivery_no IN (1, 2) GROUP BY 1, 2),
-j AS (SELECT DISTINCT delivery_no, organisation_number, j.job_id AS job_id, j.source_url AS source_url FROM (SELECT delivery_no, organisation_number, unnest(jobs) AS j FROM s) WHERE j.job_id IS NOT NULL),
-gone AS (SELECT * FROM j WHERE delivery_no = 1 AND (organisation_number, job_id) NOT IN (SELECT (organisation_number, job_id) FROM j WHERE delivery_no = 2)),
-u AS (SELECT organisation_number, unnest(sources).url AS url FROM s WHERE delivery_no = 2)
-SELECT organisation_number, job_id, CASE WHEN source_url IS NULL OR EXISTS (SELECT 1 FROM u WHERE u.organisation_number = gone.organisation_number AND contains(gone.source_url, u.url)) THEN 'REMOVED' ELSE 'OBSERVATION_GAP' END AS change_type FROM gone""")
-def gone_jobs(spark, folder):
-    last = evidence.latest_of_key(load(spark, folder, "snapshots").select("delivery_no", "organisation_number", "captured_at", "jobs", "sources"), ["delivery_no", "organisation_number"], F.col("captured_at"))
-    items = last.select("delivery_no", "organisation_number", F.explode("jobs").alias("j")).select("delivery_no", "organisation_number", "j.job_id", "j.source_url").where("job_id is not null").distinct()
-    looked = last.where("delivery_no = 2").select("organisation_number", F.transform("sources", lambda s: s["url"]).alias("urls"))
-    return history.removed_or_unseen(items.where("delivery_no = 1").drop("delivery_no"), items.where("delivery_no = 2").drop("delivery_no"), ["organisation_number", "job_id"], "source_url", looked, "organisation_number")
-
-
 def _sides(spark, folder, *columns):
     """Each company's last row of each delivery as the previous and as the current side of a pair; ``delivery_no`` is that of the pair's later delivery."""
     rows = load(spark, folder, "snapshots").select("delivery_no", "organisation_number", F.struct("captured_at", "snapshot_id").alias("at"), *columns)
@@ -370,8 +347,8 @@ _PAIRS = "w AS (SELECT delivery_no AS d, lag(delivery_no) OVER (ORDER BY deliver
 
 @query(f"""WITH {_PAIRS}, a AS (SELECT d AS delivery_no, organisation_number FROM snapshots JOIN w ON delivery_no = before), b AS (SELECT delivery_no, organisation_number FROM snapshots JOIN w ON delivery_no = d WHERE before IS NOT NULL)
 SELECT *, 'previous' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'current' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
-def unmatched_companies_all(spark, folder):
-    """Over every pair of consecutive deliveries; ``unmatched_companies`` compares deliveries 1 and 2."""
+def unmatched_companies(spark, folder):
+    """Over every pair of consecutive deliveries."""
     return history.unmatched_keys(*_sides(spark, folder), "delivery_no", "organisation_number")
 
 
@@ -380,8 +357,8 @@ j AS (SELECT DISTINCT delivery_no, organisation_number, j.job_id AS job_id, j.so
 gone AS (SELECT w.d AS delivery_no, j.organisation_number, j.job_id, j.source_url FROM j JOIN w ON j.delivery_no = w.before WHERE NOT EXISTS (SELECT 1 FROM j AS k WHERE k.delivery_no = w.d AND k.organisation_number = j.organisation_number AND k.job_id = j.job_id)),
 u AS (SELECT delivery_no, organisation_number, unnest(sources).url AS url FROM s)
 SELECT delivery_no, organisation_number, job_id, CASE WHEN source_url IS NULL OR EXISTS (SELECT 1 FROM u WHERE u.delivery_no = gone.delivery_no AND u.organisation_number = gone.organisation_number AND contains(gone.source_url, u.url)) THEN 'REMOVED' ELSE 'OBSERVATION_GAP' END AS change_type FROM gone""")
-def gone_jobs_all(spark, folder):
-    """Over every pair of consecutive deliveries; ``gone_jobs`` compares deliveries 1 and 2."""
+def gone_jobs(spark, folder):
+    """Over every pair of consecutive deliveries."""
     before, after = _sides(spark, folder, "jobs", "sources")
     items = lambda side: side.select("delivery_no", "organisation_number", F.explode("jobs").alias("j")).select("delivery_no", "organisation_number", "j.job_id", "j.source_url").where("job_id is not null").distinct()
     looked = after.select("delivery_no", "organisation_number", F.transform("sources", lambda s: s["url"]).alias("urls"))
@@ -444,7 +421,7 @@ def funnel_metrics(spark, folder):
 @query()
 def domain_candidates(spark, folder):
     """Addresses that each company may have; the spellings are tested on small frames."""
-    return candidates.domain_candidates(_registry(spark, folder), "organisation_number", "name", "municipality", "email")
+    return candidates.domain_candidates(_registry(spark, folder, "name", "municipality", "email"), "organisation_number", "name", "municipality", "email")
 
 
 # Identity
@@ -455,7 +432,7 @@ def identity_rules(spark, folder):
     """Each fetched page against the company it was fetched for: features, then the first rule that holds."""
     pages = load(spark, folder, "fetch_results").where("status = 200 and body is not null")
     facts = extract.html_facts(pages, "fetch_id", "body").select("fetch_id", "title", "headline")
-    joined = pages.select("fetch_id", "organisation_number", "url", F.col("body").alias("text")).join(facts, "fetch_id").join(_registry(spark, folder).select("organisation_number", "name", "email", "municipality"), "organisation_number")
+    joined = pages.select("fetch_id", "organisation_number", "url", F.col("body").alias("text")).join(facts, "fetch_id").join(_registry(spark, folder, "name", "email", "municipality"), "organisation_number")
     features = identity.with_features(joined, "name", "organisation_number", "email", "municipality", "url", "title", "text")
     return identity.assess(features).select("fetch_id", "organisation_number", "score", "reason", "status")
 
@@ -471,9 +448,9 @@ def html_facts(spark, folder):
     return extract.html_facts(load(spark, folder, "fetch_results"), "fetch_id", "body")
 
 
-@query("SELECT fetch_id, json_extract_string(body, '$.organisasjonsnummer') AS number, json_extract_string(body, '$.navn') AS name, json_extract_string(body, '$.antallAnsatte') AS staff FROM fetch_results WHERE body LIKE '{%' AND json_valid(body)")
+@query("SELECT fetch_id, json_extract_string(body, '$.organisasjonsnummer') AS number, json_extract_string(body, '$.navn') AS name, json_extract_string(body, '$.antallAnsatte') AS staff FROM fetch_results WHERE body IS NOT NULL AND json_valid(body) AND json_type(body) IN ('OBJECT', 'ARRAY')")
 def json_answers(spark, folder):
-    rows = extract.json_fields(load(spark, folder, "fetch_results").where("body like '{%'"), "body", {"number": "$.organisasjonsnummer", "name": "$.navn", "staff": "$.antallAnsatte"})
+    rows = extract.json_fields(load(spark, folder, "fetch_results").where(extract.is_json(F.col("body"))), "body", {"number": "$.organisasjonsnummer", "name": "$.navn", "staff": "$.antallAnsatte"})
     return rows.select("fetch_id", "number", "name", "staff")
 
 
@@ -485,7 +462,7 @@ def _screen_base(spark, folder):
         "organisation_number", F.get_json_object("value", "$.revenue").try_cast("bigint").alias("revenue"), F.get_json_object("value", "$.year").try_cast("int").alias("year")
     )
     newest = money.where("revenue is not null").groupBy("organisation_number").agg(F.max_by("revenue", F.struct("year", "revenue")).alias("revenue"))
-    base = _registry(spark, folder).select("organisation_number", "name", "legal_form", "employees", "municipality", F.concat_ws(" ", "industry_code", "industry_label").alias("industry"), "website")
+    base = _registry(spark, folder, "name", "legal_form", "employees", "municipality", "industry_code", "industry_label", "website").select("organisation_number", "name", "legal_form", "employees", "municipality", F.concat_ws(" ", "industry_code", "industry_label").alias("industry"), "website")
     return base.join(newest, "organisation_number", "left").withColumns({"financials": F.col("revenue").isNotNull(), "annual_result": F.lit(None).cast("bigint")})
 
 
@@ -530,6 +507,7 @@ def derived_ids(spark, folder):
 
 # Facts, gaps, signals
 
+_FACT_COLUMNS = ("organisation_number", "field", "value", "source_url", "retrieved_at", "content_sha256")
 _PATHS = {"registry": ["employees"], "registry_live": ["employees"], "financials": ["revenue", "year"], "website": ["host", "count"], "roles": ["host", "count"]}
 
 
@@ -537,13 +515,13 @@ _PATHS = {"registry": ["employees"], "registry_live": ["employees"], "financials
 c AS (SELECT *, unnest(CASE WHEN field IN ('registry', 'registry_live') THEN ['employees'] WHEN field = 'financials' THEN ['revenue', 'year'] WHEN field IN ('website', 'roles') THEN ['host', 'count'] END) AS claim FROM k)
 SELECT DISTINCT organisation_number, field AS module, claim, json_extract_string(value, '$.' || claim) AS value, source_url, retrieved_at, content_sha256 FROM c WHERE json_extract_string(value, '$.' || claim) IS NOT NULL""")
 def company_facts(spark, folder):
-    return synthesis.facts(_evidence(spark, folder), _PATHS)
+    return synthesis.facts(_evidence(spark, folder, *_FACT_COLUMNS), _PATHS)
 
 
 @query(f"""WITH {_EVIDENCE} SELECT DISTINCT organisation_number, field AS module, unnest(['revenue', 'year']) AS claim, json_extract_string(value, unnest(['$.revenue', '$.year'])) AS value FROM ev
 WHERE field = 'financials' AND state = 'available' AND source_url IS NOT NULL AND retrieved_at IS NOT NULL AND content_sha256 IS NOT NULL AND json_extract_string(value, '$.revenue') IS NOT NULL AND json_extract_string(value, '$.year') IS NOT NULL""")
 def answer_on_revenue(spark, folder):
-    known = synthesis.facts(_evidence(spark, folder), _PATHS)
+    known = synthesis.facts(_evidence(spark, folder, *_FACT_COLUMNS), _PATHS)
     return synthesis.answer(known, "What was the revenue?").select("organisation_number", "module", "claim", "value").distinct()
 
 
@@ -551,7 +529,7 @@ def answer_on_revenue(spark, folder):
 w AS (SELECT organisation_number, unnest(['registry', 'registry_live', 'financials', 'roles', 'group', 'locations', 'website', 'accounting_obligation', 'external_footprint']) AS module FROM reg)
 SELECT w.organisation_number, w.module, coalesce(b.state, 'missing') AS state FROM w LEFT JOIN b USING (organisation_number, module) WHERE NOT coalesce(b.ok, false)""")
 def unknown_modules(spark, folder):
-    return synthesis.unknowns(_registry(spark, folder), _evidence(spark, folder))
+    return synthesis.unknowns(_registry(spark, folder), _evidence(spark, folder, "organisation_number", "field"))
 
 
 @query("""SELECT company_orgnr AS organisation_number, 'postings' AS signal, count(*) AS n FROM (SELECT DISTINCT ON (job_id) * FROM jobs ORDER BY job_id, ingested_at) WHERE identity_assessment.score >= 0.9 AND company_orgnr IS NOT NULL GROUP BY 1
@@ -578,16 +556,8 @@ def largest_page(spark, folder):
 _KINDS = [("award", "pris(en)?\\b|award"), ("launch", "åpner|lansér|opens|launch"), ("agreement", "avtale|contract|sammen"), ("event", "fagdag|messen|årsmøte")]
 
 
-@query(r"""SELECT activity_id, CASE WHEN regexp_matches(t, '(?i)pris(en)?\b|award') THEN 'award' WHEN regexp_matches(t, '(?i)åpner|lansér|opens|launch') THEN 'launch' WHEN regexp_matches(t, '(?i)avtale|contract|sammen') THEN 'agreement' WHEN regexp_matches(t, '(?i)fagdag|messen|årsmøte') THEN 'event' END AS kind
-FROM (SELECT DISTINCT activity_id, coalesce(title, '') AS t FROM activities) WHERE NOT regexp_matches(t, '[^\x00-\x7eæøåÆØÅ]')""")
-def activity_kinds(spark, folder):
-    rows = load(spark, folder, "activities").select("activity_id", F.coalesce("title", F.lit("")).alias("t")).distinct().where(~F.col("t").rlike("[^\\x00-\\x7eæøåÆØÅ]"))
-    return rows.select("activity_id", text.first_rule(_KINDS, F.col("t")).alias("kind"))
-
-
 @query(r"""SELECT activity_id, CASE WHEN regexp_matches(t, '(?i)pris(en)?\b|award') THEN 'award' WHEN regexp_matches(t, '(?i)åpner|lansér|opens|launch') THEN 'launch' WHEN regexp_matches(t, '(?i)avtale|contract|sammen') THEN 'agreement' WHEN regexp_matches(t, '(?i)fagdag|messen|årsmøte') THEN 'event' END AS kind
 FROM (SELECT DISTINCT activity_id, coalesce(title, '') AS t FROM activities)""")
-def activity_kinds_all(spark, folder):
-    """Every activity, whatever its title's characters; ``activity_kinds`` leaves those out that its SQL leaves out."""
+def activity_kinds(spark, folder):
     rows = load(spark, folder, "activities").select("activity_id", F.coalesce("title", F.lit("")).alias("t")).distinct()
     return rows.select("activity_id", text.first_rule(_KINDS, F.col("t")).alias("kind"))
