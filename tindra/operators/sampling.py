@@ -44,6 +44,18 @@ def least_hashed(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     return ranked.where(F.shiftrightunsigned("_h", 64 - _BITS) <= F.col("_bound")).orderBy("_u", "_h", key).limit(k).drop("_u", "_h", "_bound")
 
 
+def least_hashed_of_each(df: DataFrame, key: str, group: str, groups: list[str], k: int, seed: int) -> DataFrame:
+    """The ``k`` rows of least hash of each of the named groups; a short list, as its bounds are broadcast."""
+    named = df.where(F.col(group).isin(groups))
+    mixed = F.xxhash64(F.lit(seed), F.col(key))
+    counts = named.groupBy(F.col(group).alias("_g"), F.shiftrightunsigned(mixed, 64 - _BITS).alias("_p")).agg(F.count("*").alias("_n"))
+    through = counts.withColumn("_t", F.sum("_n").over(Window.partitionBy("_g").orderBy("_p")))  # over 2^_BITS rows at most
+    bounds = through.groupBy("_g").agg(F.coalesce(F.min(F.when(F.col("_t") >= k, F.col("_p"))), F.max("_p")).alias("_bound"))
+    near = named.withColumn("_h", mixed).join(F.broadcast(bounds), F.col(group) == F.col("_g")).where(F.shiftrightunsigned("_h", 64 - _BITS) <= F.col("_bound"))
+    w = Window.partitionBy("_g").orderBy(F.shiftrightunsigned("_h", 32), "_h", key)  # over little more than k rows
+    return near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_h", "_g", "_bound", "_rn")
+
+
 def preserve_then_fill(df: DataFrame, key: str, preserved: DataFrame, k: int, seed: str) -> DataFrame:
     """(key, is_preserved, position): the eligible preserved keys first, the rest by rank, then one seeded order of all.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,25 +35,54 @@ def is_local(spark: SparkSession) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder and returns a frame that reads it, so that it survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the checkpoint folder of the context, else the one named by ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  Where that is unset a
-    temporary folder is taken, which is right only for a local session; on a
-    cluster an unset folder is an error.
+    Where both are unset a temporary folder is taken, which is right only for a local
+    session; on a cluster an unset folder is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not is_local(spark):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tindra-checkpoint-")
-        context.setCheckpointDir(folder)
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isEmpty():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tindra-checkpoint-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and returns a frame that reads it, so that it survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``checkpoint``, but as a compressed columnar table: later readers read only their columns.
+
+    ``release`` deletes the table once nothing is read from it any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored``."""
+    for table in tables:
+        if path := getattr(table, "_stored_at", None):
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            table._stored_at = None
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per Spark context."""
     import zipfile
