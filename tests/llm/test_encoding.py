@@ -16,16 +16,18 @@ TEXTS = [
 
 
 def test_ids_and_back(spark):
-    rows = [(k, t, "x") for k, t in enumerate(TEXTS)] + [(0, TEXTS[0], "x")]
+    rows = [(k, t, "x") for k, t in enumerate(TEXTS)] + [(0, TEXTS[0], "x"), (None, "uten nøkkel zxqv", "x"), (None, "uten nøkkel", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, word string").repartition(4)
     encoder = E.tokenizer(PATH)
     # With hardly any frequent words nearly all take the other way.
     for hot in (0.05, 5e-6):
         ids = E.encode(df, "doc_id", "text", hot_share=hot)
         assert ids.count() == len(rows)
-        got = {r.doc_id: r.ids for r in ids.collect()}
+        got = {r.doc_id: r.ids for r in ids.where("doc_id is not null").collect()}
+        keyless = sorted(r.ids for r in ids.where("doc_id is null").collect())
+        assert keyless == sorted(encoder.encode_ordinary(t) for t in ("uten nøkkel zxqv", "uten nøkkel"))
         assert got == {k: encoder.encode_ordinary(t or "") for k, t in enumerate(TEXTS)}
-    back = {r.doc_id: r.text for r in E.decode(ids.distinct(), "doc_id", "ids").collect()}
+    back = {r.doc_id: r.text for r in E.decode(ids.where("doc_id is not null").distinct(), "doc_id", "ids").collect()}
     assert back == {k: t or "" for k, t in enumerate(TEXTS)}
 
 

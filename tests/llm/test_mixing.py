@@ -21,6 +21,7 @@ def test_shares(spark):
     got = {r.source: r for r in X.shares(mixed, targets).collect()}
     for source, share in (("news", 0.5), ("job", 0.35), ("tender", 0.1)):
         assert abs(got[source].actual_share - share / 0.95) < 0.02, got[source]
+        assert abs(got[source].expected_share - share / 0.95) < 0.02, got[source]
         assert got[source].most_copies <= {"news": 2, "job": 2, "tender": 8}[source]
     assert got["absent"].used_tokens == 0 and got["absent"].actual_share == 0
 
@@ -35,7 +36,7 @@ def test_rates_are_fitted_to_the_end(spark):
     import numpy as np
 
     draw = np.random.default_rng(3)
-    n, size, weight = 4, 3000, 4.0
+    n, size = 4, 3000
     k = draw.choice(n, size, p=[0.5, 0.3, 0.15, 0.05])
     tokens = np.ceil(draw.lognormal(5, 1, size)).astype(int)
     score = draw.normal(0, 1, (size, n)) + draw.normal(0, 0.8, (n, n))[k]
@@ -48,22 +49,22 @@ def test_rates_are_fitted_to_the_end(spark):
     assert len(found) == size + 1 and found[size] == 0 and how["converged"]
     # Brute force: many plain projected steps, all in one place.
     goal, cap = how["goal"], np.array([c for _, _, c in plan])[k]
-    start = np.minimum(goal / np.bincount(k, tokens, n), [c for _, _, c in plan])[k]
 
     def residual(r):
-        return np.concatenate((r * tokens @ p / goal - 1, np.bincount(k, r * tokens, n) / goal - 1))
+        return r * tokens @ p / goal - 1
 
     def loss(r):
-        return (np.concatenate((goal, weight * goal)) * residual(r) ** 2).sum() / goal.sum() / 2
+        return (goal * residual(r) ** 2).sum() / goal.sum() / 2
 
-    rate = start
-    for _ in range(20_000):
-        x = residual(rate)
-        rate = np.clip(rate - start / 2 * (p @ x[:n] + weight * x[n:][k]) / (1 + weight), 0, cap)
+    scale = (goal / np.bincount(k, tokens, n))[k]
+    rate = np.full(size, goal.sum() / tokens.sum())
+    for _ in range(5_000):
+        rate = np.clip(rate - scale / 3 * (p @ residual(rate)), 0, cap)
     got = np.array([found[i] for i in range(size)])
+    assert (got >= 0).all() and (got <= cap + 1e-9).all()
     assert np.allclose(how["residual"], residual(got), atol=1e-6)
-    assert loss(got) < loss(rate) + 2e-4, (loss(got), loss(rate), loss(start))
-    assert np.abs(residual(got) - residual(rate)).max() < 0.03
+    assert loss(got) < loss(rate) + 1e-4, (loss(got), loss(rate))
+    assert np.abs(residual(got) - residual(rate)).max() < 0.02
 
 
 def test_rounds_that_do_not_suffice_are_told(spark):
@@ -71,3 +72,14 @@ def test_rounds_that_do_not_suffice_are_told(spark):
     with pytest.warns(UserWarning, match="not converged"):
         _, how = X.fit_rates(spark.createDataFrame(docs, "doc_id int, source string, tokens bigint, p array<double>"), [("a", 0.7, 2.0), ("b", 0.3, 3.0)], rounds=1)
     assert not how["converged"] and how["rounds"] == 1
+
+
+def test_likelihood_and_label():
+    import numpy as np
+
+    texts = ["anbud frist kunngjøring"] * 40 + ["stilling søker lønn"] * 40
+    ids, offsets = X.features(texts)
+    model = X.Domains(X.fit_softmax(ids, offsets, np.repeat([0, 1], 40), 2))
+    p = model.posteriors(["anbud frist kunngjøring", "stilling søker lønn", "anbud frist kunngjøring", "ukjente ord her"], np.array([0, 1, -1, 0]))
+    assert p[0, 0] > 0.99 and p[1, 1] > 0.99 and p[2, 0] > 0.9 and p[3, 0] > 0.9 and np.allclose(p.sum(1), 1)
+    assert model.posteriors([], np.zeros(0, dtype=int)).shape == (0, 2)

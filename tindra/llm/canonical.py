@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tindra.session import stored
+
 # Letters that look like a Latin letter, each string beside the letters it stands for.
 LOOK_ALIKES = (
     ("асԁеһіјорԛѕѵԝху", "acdehijopqsvwxy"),  # Cyrillic, small
@@ -210,21 +212,35 @@ def canonical_forms(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def form_classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, class_id, text_id) of every row with visible text: rows of one class look the same, rows of one text_id are identical."""
-    forms = canonical_forms(df, key, text).where(r"form is not null and form rlike '\\S'")
-    return forms.select(key, F.md5(F.encode("form", "UTF-8")).alias("class_id"), F.md5(F.encode(text, "UTF-8")).alias("text_id"))
+    """(key, class_id, text_id) of every row with visible text: rows of one class look the same, rows of one text_id are identical.
+
+    Texts go to Python once and only their forms come back.
+    """
+    digest = lambda c: F.unhex(F.md5(F.encode(c, "UTF-8")))
+    rows = df.select(F.struct(F.col(key).alias("key"), digest(F.col(text)).alias("text_id")).alias("_at"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    schema = rows.select("_at", F.lit(None).cast("string").alias("form")).schema
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), canonical_array(batch.column(1)).cast(pa.string())], names=["_at", "form"])
+
+    forms = rows.mapInArrow(convert, schema).where(r"form rlike '\\S'")
+    return forms.select(F.col("_at.key").alias(key), digest(F.col("form")).alias("class_id"), F.col("_at.text_id").alias("text_id"))
 
 
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: rows that look the same and are not identical.
 
-    Only classes with at least two different texts reach the join; they are told by
-    an aggregate of two values a class, so a class of many copies stays cheap until
-    its pairs are written out.
+    The classes are stored, so each text is brought to its form once.  Only classes with
+    at least two different texts reach the join; they are told by an aggregate of two
+    values a class, so a class of many copies stays cheap until its pairs are written
+    out.  Rows without key are in no pair, and a repeated row counts once.
     """
-    rows = form_classes(df, key, text)
+    rows = stored(form_classes(df, key, text))
     mixed = rows.groupBy("class_id").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a <> b").select("class_id")
-    members = rows.join(mixed, "class_id", "left_semi").distinct()
+    members = rows.where(F.col(key).isNotNull()).join(mixed, "class_id", "left_semi").distinct()
     left = members.select("class_id", F.col(key).alias("doc_a"), F.col("text_id").alias("_a"))
     right = members.select("class_id", F.col(key).alias("doc_b"), F.col("text_id").alias("_b"))
     return left.join(right, "class_id").where("doc_a < doc_b and _a <> _b").select("doc_a", "doc_b")

@@ -6,14 +6,16 @@ position.
 
 * Words are counted batch by batch: what is shuffled for the word table are the
   distinct words of each batch, not the words of the corpus.
-* The most frequent words (those with a share of at least ``hot_share`` of all words, so at
-  most ``1 / hot_share`` words, of at most ``hot_length`` characters) are broadcast: they cover nearly all positions,
-  are put in place by array gathers without a shuffle, and are just the words that
-  would skew a join.  All other words take the shuffled join by document and
+* The most frequent words are broadcast: those with a share of at least ``hot_share`` of all
+  words, and of words of more than 32 characters in proportion more, so that all of
+  them together have at most ``32 / hot_share`` characters.  They cover nearly all
+  positions, are put in place by array gathers without a shuffle, and are just the
+  words that would skew a join.  All other words take the shuffled join by row and
   position; no word is left out.
+* Texts are split once; the words are kept as a compressed table in the shared folder.
 
-Defined results: null and empty texts give an empty list.  Rows that repeat a key are
-taken to agree, and give a row each.
+Defined results: null and empty texts give an empty list.  Every row gives a row, also
+those with a null or repeated key: rows are told apart by a number of their own.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tindra.session import checkpoint
+from tindra.session import release, stored
 
 TOKENIZERS = "/opt/tokenizers"
 #: The split pattern of the byte-level vocabularies, with white space spelt out as Unicode has it.
@@ -57,15 +59,17 @@ def words_of(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, words) with the text split into words, in order.
 
     The JVM's character tables may be older than the tokenizer's.  Texts with
-    characters that the JVM does not know are split in Python by the same pattern.
+    characters that the JVM does not know are split in Python by the same pattern;
+    of the others nothing but a null goes there.
     """
 
     @F.pandas_udf("array<string>")
     def resplit(texts: pd.Series) -> pd.Series:
-        return texts.map(_resplit)
+        return pd.Series([_resplit(t) if isinstance(t, str) else None for t in texts], dtype=object)
 
-    known = F.regexp_extract_all(F.col(text), F.lit(SPLIT), F.lit(0))
-    return documents.select(key, F.when(F.col(text).rlike(r"\p{Cn}"), resplit(F.when(F.col(text).rlike(r"\p{Cn}"), F.col(text)).otherwise(F.lit("")))).otherwise(known).alias("words"))
+    rows = documents.select(F.col(key), F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{Cn}"), F.lit(False)).alias("_odd"))
+    known = F.when(~F.col("_odd"), F.regexp_extract_all("_text", F.lit(SPLIT), F.lit(0)))
+    return rows.select(F.col(key), F.coalesce(known, resplit(F.when(F.col("_odd"), F.col("_text")))).alias("words"))
 
 
 def _flat(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -123,40 +127,55 @@ def place_ids(flat: pa.Array, lengths: np.ndarray, known: dict[str, list[int]])
     )
 
 
-def encode(documents: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, hot_share: float = 5e-6, hot_length: int = 32) -> DataFrame:
-    """(key, ids) of every row, without special tokens.  Checkpoints the word table and what the frequent words give."""
+def encode(documents: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, hot_share: float = 5e-6) -> DataFrame:
+    """(key, ids) of every row, without special tokens.  Stores the words, the word table and what the frequent words give."""
     path = f"{folder}/{vocabulary}.tiktoken"
-    words = words_of(documents, key, text)
-    table = checkpoint(word_table(words, path))
+    words = stored(words_of(documents.select(F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).alias("_at"), F.col(text).alias("_text")), "_at", "_text"))
+    table = stored(word_table(words, path))
     total = table.agg(F.sum("n")).first()[0] or 0
-    hot = table.where((F.length("word") <= hot_length) & (F.col("n") >= hot_share * total)).select("word", "ids")
-    known = {r.word: list(r.ids) for r in hot.collect()}  # at most 1 / hot_share rows of hot_length characters
+    is_hot = F.col("n") >= F.lit(hot_share * total) * F.greatest(F.length("word") / 32, F.lit(1.0))
+    known = {r.word: list(r.ids) for r in table.where(is_hot).select("word", "ids").collect()}  # at most 32 / hot_share characters
     shared = documents.sparkSession.sparkContext.broadcast(known)
-    key_type = documents.schema[key].dataType.simpleString()
+    schema = words.select("_at", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("array<string>").alias("others")).schema
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, others = place_ids(*_flat(batch.column(1)), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, others], names=[key, "ids", "others"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, others], names=["_at", "ids", "others"])
 
-    placed = checkpoint(words.mapInArrow(place, f"{key} {key_type}, ids array<int>, others array<string>"))
-    rare = placed.select(key, F.posexplode("others").alias("pos", "word")).join(table.select("word", F.col("ids").alias("w")), "word").select(key, "pos", "w").distinct()
-    far = rare.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("_far"))
+    placed = stored(words.mapInArrow(place, schema))
+    release(words)
+    rare = placed.select(F.col("_at.row").alias("row"), F.posexplode("others").alias("pos", "word")).join(table.where(~is_hot).select("word", F.col("ids").alias("w")), "word")
+    far = rare.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("_far"))
     filled = F.flatten(F.transform("ids", lambda x: F.when(x >= 0, F.array(x)).otherwise(F.element_at("_far", -x))))
-    whole = placed.where(F.size("others") == 0).select(key, "ids")
-    return whole.unionByName(placed.where(F.size("others") > 0).join(far, key).select(key, filled.alias("ids")))
+    whole = placed.where(F.size("others") == 0).select(F.col("_at.key").alias(key), "ids")
+    rest = placed.where(F.size("others") > 0).withColumn("row", F.col("_at.row")).join(far, "row").select(F.col("_at.key").alias(key), filled.alias("ids"))
+    return whole.unionByName(rest)
 
 
 def decode(encoded: DataFrame, key: str, ids: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(key, text) through a join with the vocabulary's pieces; an empty list gives the empty text.
+    """(key, text) of every row through a join of its ids with the vocabulary's pieces; an empty list gives the empty text.
 
-    The vocabulary is a fixed table of some 50,000 short pieces and is broadcast.
+    The vocabulary is a fixed table of some 50,000 short pieces: it is broadcast, and an
+    id is met with its piece by an array gather within its row, so nothing is shuffled.
     """
-    spark = encoded.sparkSession
     with open(f"{folder}/{vocabulary}.tiktoken", "rb") as f:
-        pieces = [(int(b), bytearray(base64.b64decode(a))) for a, b in map(bytes.split, f)]
-    table = spark.createDataFrame(pieces, "id int, piece binary")
-    parts = encoded.select(key, F.posexplode(ids).alias("pos", "id")).join(F.broadcast(table), "id")
-    texts = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("piece").alias("piece")))).alias("p"))
-    joined = texts.select(key, F.decode(F.unhex(F.concat_ws("", F.transform("p", lambda x: x["piece"]))), "UTF-8").alias("text"))
-    return encoded.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+        pieces = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    each = [pieces.get(k, b"") for k in range(max(pieces, default=-1) + 1)]
+    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(each), dtype=np.uint8), np.array([len(x) for x in each], dtype=np.int64)))
+    rows = encoded.select(F.col(key), F.col(ids).alias("ids"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, width = shared.value
+        start = np.concatenate(([0], np.cumsum(width)))
+        for batch in batches:
+            flat, lengths = _flat(batch.column(1))
+            flat = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+            size = width[flat]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            data = pool[np.repeat(start[flat] - ends[:-1], size) + np.arange(ends[-1])]
+            offsets = ends[np.concatenate(([0], np.cumsum(lengths)))]
+            texts = pa.LargeStringArray.from_buffers(batch.num_rows, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts.cast(pa.string())], names=[key, "text"])
+
+    return rows.mapInArrow(join, rows.select(F.col(key), F.lit("").alias("text")).schema)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tindra.llm import addresses, boilerplate, canonical, encoding, entities, mixing, mojibake
@@ -92,6 +91,19 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(load(spark, folder, "documents"), "doc_id", "text")
 
 
+def p7_text(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, text) of the ids of every document turned back; null and empty texts are both empty."""
+    return encoding.decode(p7_ids(spark, folder), "doc_id", "ids")
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source with a target whether the mix keeps its repeats, uses no more than there is, and is within 0.02 of its share (where there is anything to use)."""
+    rows = p8_shares(spark, folder).withColumn("reachable", F.sum(F.when(F.col("available_tokens") > 0, F.col("target_share"))).over(Window.partitionBy()))  # a row for each target
+    near = F.abs(F.col("actual_share") - F.when(F.col("available_tokens") > 0, F.col("target_share") / F.col("reachable")).otherwise(0.0)) < 0.02
+    within = (F.col("most_copies") <= F.col("max_repeats")) & (F.col("used_tokens") <= F.col("max_repeats") * F.col("available_tokens"))
+    return rows.select("source", "documents", within.alias("within_repeats"), near.alias("near_target"))
+
+
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each source with a target: tokens available and used, and the share reached."""
     targets = load(spark, folder, "mix_targets")
@@ -111,6 +123,9 @@ def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.canonical_forms(load(spark, folder, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_content": p2_content, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_content": p2_content, "p5_found": p5_found, "p5_places": p5_places, "p6_found": p6_found, "p6_matches": p6_matches, "p7_ids": p7_ids, "p7_text": p7_text, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_kept": p8_kept, "p9_found": p9_found, "p9_forms": p9_forms}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_kept": "SELECT t.source, count(d.doc_id) AS documents, true AS within_repeats, true AS near_target FROM (SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL) t LEFT JOIN documents d USING (source) GROUP BY 1",
+}
