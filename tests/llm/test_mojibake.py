@@ -72,3 +72,19 @@ def test_counts_are_of_all_rows(spark):
     df = spark.createDataFrame([("ab",), ("ab",), (None,), ("",), ("a会",)], "t string")
     got = {r.pair: r.n for r in M.pair_counts([df.repartition(3)]).collect()}
     assert got[ord("a") << 21 | ord("b")] == 2 and sum(got.values()) == 9
+
+
+def test_rest_of_the_pairs_is_fetched(spark):
+    texts = CLEAN * 30 + ["KjÃ¸kkensjef", "Ã…rsmÃ¸tet valgte", "Kj+APg-kkensjef", "M�bel"]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, title string").repartition(4)
+    whole, small = M.fit([df.select("title")]), M.fit([df.select("title")], most=40)
+    assert whole.rest is None and small.rest is not None and len(small.pairs) <= 40
+    found = [sorted(map(tuple, M.find_garbled(df, "id", "title", m).select("id", "restored", "restorable").collect())) for m in (whole, small)]
+    assert found[0] == found[1] and {t[1] for t in found[0]} >= {"Kjøkkensjef", "Årsmøtet valgte"}
+
+
+def test_garbled_many_times(model):
+    garbled = CLEAN[0]
+    for _ in range(5):
+        garbled = garbled.encode("utf-8").decode("cp1252")
+    assert M.restore(garbled, model)[0] == CLEAN[0]

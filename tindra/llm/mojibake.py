@@ -12,18 +12,19 @@
    under the same pair statistics by ``margin`` for each replaced sequence; the rounds
    repeat, as texts are garbled more than once.
 
-The statistics are relative frequencies; pairs rarer than ``RAREST`` count as unseen,
-which bounds the broadcast table to ``1 / RAREST`` pairs for any corpus.
-
-Defined results: null and empty texts are no case and stay as they are.  A text with
-U+FFFD is a case that is not restorable (the character is gone); other parts of it
-are still restored.
+The statistics are relative frequencies, and none is taken to be less than ``FLOOR``,
+seen or not, at any size of the corpus.  The ``MOST`` most frequent pairs are
+broadcast.  Where a corpus has more, the pairs of the texts that look improbable
+without them are fetched by a join, so that no statistic is out of reach.
+
+Defined results: null and empty texts are no case and stay as they are.  U+FFFD stands
+in no text by intent, so its pairs are improbable by definition: a run with it is a
+case that is not restorable (the character is gone); other runs are still restored.
 """
 
 from __future__ import annotations
 
 import base64
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,10 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tindra.session import checkpoint
+from tindra.session import stored
 
-#: Least relative frequency of a pair that is told from an unseen one.
-RAREST = 5e-7
+#: Least relative frequency that a pair is taken to have; with ``RAREST`` the scale of the smoothing.
+FLOOR, RAREST = 5e-8, 5e-7
+#: Mappings that are weighed together; a text garbled more often takes further passes.
+_AHEAD = 4
+#: Pairs that are broadcast at most.
+MOST = 2_000_000
 # Encodings that texts were read with, and those that they were written in.
 READ_AS = ("cp1252", "latin_1", "iso8859_15", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp437", "cp850", "cp865", "cp866", "mac_roman", "cp1254", "cp1257", "cp1253", "iso8859_5", "mac_cyrillic")
 _ONE_BYTE = ("cp1250", "iso8859_2", "cp1251", "koi8_r", "cp437", "cp850", "cp865", "cp866", "mac_roman", "iso8859_5", "mac_cyrillic")
@@ -45,16 +50,16 @@ WRITTEN_IN = ("cp850", "cp865", "mac_roman")
 #: One-byte texts are read with anything when they were written in cp1252, and the other way round.
 SWAPS = [(wrong, "cp1252") for wrong in _ONE_BYTE] + [(wrong, true) for wrong in ("cp1252", "latin_1") for true in WRITTEN_IN]
 _REMEMBERED = 200_000
-#: Times a text is taken to be garbled over itself at most.
-_DEPTH = 4
 _NARROW = 0x250
 _CLASSES_FROM = 0x3000
+#: The symbol of U+FFFD.
+_LOST = _CLASSES_FROM + 0x11FF
 
 
 def symbols(text: str) -> np.ndarray:
     """Code points; beyond the alphabets a character stands for its block of 256."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    return np.where(points < _CLASSES_FROM, points, _CLASSES_FROM + (points >> 8))
+    return np.where(points < _CLASSES_FROM, points, np.where(points == 0xFFFD, _LOST, _CLASSES_FROM + (points >> 8)))
 
 
 def pair_counts(texts: list[DataFrame]) -> DataFrame:
@@ -82,49 +87,66 @@ def pair_counts(texts: list[DataFrame]) -> DataFrame:
 
 @dataclass
 class PairModel:
-    """Relative frequencies of pairs and characters."""
+    """Relative frequencies of pairs and characters; ``rest`` (pair, n) are pairs that are not broadcast."""
 
     pairs: np.ndarray
     frequency: np.ndarray
-    single: dict[int, float] = field(init=False)
-    known: dict[int, float] = field(init=False)
+    single: np.ndarray | None = None
+    rest: DataFrame | None = None
+    total: float = 1.0
+    #: Frequencies of further pairs, set for one text at a time.
+    more: dict[int, float] = field(default_factory=dict)
     #: Runs between their neighbours that no mapping improves; a cache of bounded size.
     dull: set[tuple[str, str, str]] = field(default_factory=set)
 
     def __post_init__(self) -> None:
-        self.single, self.known = {}, dict(zip(self.pairs.tolist(), self.frequency.tolist(), strict=True))
-        for pair, f in self.known.items():
-            self.single[pair >> 21] = self.single.get(pair >> 21, 0.0) + f
         order = np.argsort(self.pairs)
         self.pairs, self.frequency = self.pairs[order], self.frequency[order]
-        table = np.full(_CLASSES_FROM + 0x1200, RAREST / 2)
-        for s, f in self.single.items():
-            table[s] = f
-        self._table = table
+        if self.single is None:
+            self.single = np.bincount(self.pairs >> 21, self.frequency, _CLASSES_FROM + 0x1200)
+
+    def frequencies(self, codes: np.ndarray) -> np.ndarray:
+        """Of pairs, 0 where there is none."""
+        k = np.minimum(np.searchsorted(self.pairs, codes), max(len(self.pairs) - 1, 0))
+        f = np.where(self.pairs[k] == codes, self.frequency[k], 0.0) if len(self.pairs) else np.zeros(len(codes))
+        if self.more:
+            for at in np.flatnonzero(f == 0):
+                f[at] = self.more.get(int(codes[at]), 0.0)
+        return f
 
     def association(self, s: np.ndarray) -> np.ndarray:
         """Of each adjacent pair: log of f(ab) squared over f(a) f(b)."""
-        codes = s[:-1] << 21 | s[1:]
-        k = np.minimum(np.searchsorted(self.pairs, codes), max(len(self.pairs) - 1, 0))
-        f = np.where(self.pairs[k] == codes, self.frequency[k], RAREST / 10) if len(self.pairs) else np.full(len(codes), RAREST)
-        return 2 * np.log(f) - np.log(self._table[s[:-1]]) - np.log(self._table[s[1:]])
+        f = np.maximum(self.frequencies(s[:-1] << 21 | s[1:]), FLOOR)
+        single = np.where(self.single > 0, self.single, RAREST / 2)
+        result = 2 * np.log(f) - np.log(single[s[:-1]]) - np.log(single[s[1:]])
+        return np.where((s[:-1] == _LOST) | (s[1:] == _LOST), -50.0, result)
 
     def log_probability(self, text: str) -> float:
         """Of a text's characters after its first, each given the one before."""
-        total, k = 0.0, 1e-6
-        s = symbols(text).tolist()
-        for a, b in zip(s, s[1:], strict=False):
-            fb = max(self.single.get(b, 0.0), RAREST / 10)
-            total += math.log((self.known.get(a << 21 | b, 0.0) + k * fb) / (self.single.get(a, 0.0) + k))
-        return total
+        k = 1e-6
+        s = symbols(text)
+        f = self.frequencies(s[:-1] << 21 | s[1:])
+        fb = np.maximum(self.single[s[1:]], RAREST / 10)
+        return float(np.log((f + k * fb) / (self.single[s[:-1]] + k)).sum())
+
+    def missing(self, text: str) -> list[int]:
+        """The pairs of a text that the model does not hold."""
+        s = symbols(f"\n{text}\n")
+        codes = s[:-1] << 21 | s[1:]
+        return np.unique(codes[self.frequencies(codes) == 0]).tolist()
 
 
-def fit(texts: list[DataFrame]) -> PairModel:
-    """The pair model of all rows of the given one-column frames.  Runs a job; brings at most 1 / RAREST pairs to the driver."""
-    counts = checkpoint(pair_counts(texts))
+def fit(texts: list[DataFrame], most: int = MOST) -> PairModel:
+    """The pair model of all rows of the given one-column frames.  Runs a job; brings at most ``most`` pairs to the driver."""
+    counts = stored(pair_counts(texts))
     total = counts.agg(F.sum("n")).first()[0] or 1
-    rows = counts.where(F.col("n") >= RAREST * total).select("pair", "n").toPandas()
-    return PairModel(rows["pair"].to_numpy(np.int64), rows["n"].to_numpy(np.float64) / total)
+    firsts = counts.groupBy(F.shiftright("pair", 21).alias("a")).agg(F.sum("n").alias("n")).toPandas()  # a row for each character or block
+    single = np.bincount(firsts["a"].to_numpy(np.int64), firsts["n"].to_numpy(np.float64) / total, _CLASSES_FROM + 0x1200)
+    wanted, rest = counts.where(F.col("n") > FLOOR * total), None
+    if wanted.count() > most:
+        wanted, rest = wanted.where(F.col("n") * most >= total), wanted.where(F.col("n") * most < total)
+    rows = wanted.select("pair", "n").toPandas()
+    return PairModel(rows["pair"].to_numpy(np.int64), rows["n"].to_numpy(np.float64) / total, single, rest, float(total))
 
 
 def segments(scores: list[float]) -> list[tuple[int, int]]:
@@ -161,8 +183,8 @@ def improbable(texts: list[str], model: PairModel, threshold: float = -8.0) -> l
     return kept
 
 
-def runs_of(text: str, association: np.ndarray, threshold: float = -8.0) -> list[tuple[int, int]]:
-    """Character spans of the improbable runs; ``association`` is of the pairs of the text between two line breaks."""
+def spans_of(text: str, association: np.ndarray, threshold: float = -8.0) -> list[tuple[int, int]]:
+    """Character spans of the improbable runs, widened over unbroken non-ASCII text; ``association`` is of the pairs of the text between two line breaks."""
     scores = np.clip(threshold - association, -4.0, 6.0)
     merged: list[list[int]] = []
     for a, b in segments(scores.tolist()):
@@ -175,7 +197,12 @@ def runs_of(text: str, association: np.ndarray, threshold: float = -8.0) -> list
             merged[-1][1] = max(merged[-1][1], end)
         else:
             merged.append([start, end])
-    return [(a, b) for a, b in merged if any(c > "\x7e" for c in text[a:b])]
+    return [(a, b) for a, b in merged]
+
+
+def runs_of(text: str, association: np.ndarray, threshold: float = -8.0) -> list[tuple[int, int]]:
+    """The improbable runs that hold a character beyond ASCII."""
+    return [(a, b) for a, b in spans_of(text, association, threshold) if any(c > "\x7e" for c in text[a:b])]
 
 
 @lru_cache(maxsize=1)
@@ -251,7 +278,7 @@ def _recased(run: str) -> list[str]:
 def _candidates(run: str) -> Iterator[tuple[str, int, list[str], dict[str, str] | None]]:
     """(restored run, sequences replaced, names of the mappings undone, the outermost first, one-byte swap or None)."""
     seen, level = {run}, [(run, [])]
-    for _ in range(_DEPTH):
+    for _ in range(_AHEAD):
         deeper = []
         for current, names in level:
             variants = [(v, set(v)) for v in _recased(current)]
@@ -280,9 +307,11 @@ _SHIFTED = re.compile(r"\+([A-Za-z0-9/]{3,})-?")
 
 
 def _from_utf7(text: str, model: PairModel, threshold: float, margin: float) -> tuple[str, list[str]]:
-    """UTF-7 that was read as ASCII, undone in improbable stretches where that makes the text more probable."""
+    """UTF-7 that was read as ASCII, undone in the shift sequences of the improbable runs where that makes the text more probable."""
     undone: list[str] = []
-    for found in reversed(list(_SHIFTED.finditer(text))):
+    spans = spans_of(text, model.association(symbols(f"\n{text}\n")), threshold)
+    shifted = [found for found in _SHIFTED.finditer(text) if any(a < found.end() and found.start() < b for a, b in spans)]
+    for found in reversed(shifted):
         a, b = found.span()
         try:
             meant = base64.b64decode(found[1] + "=" * (-len(found[1]) % 4)).decode("utf-16-be")
@@ -291,21 +320,37 @@ def _from_utf7(text: str, model: PairModel, threshold: float, margin: float) ->
         if not meant or meant.isascii() or not meant.isprintable():
             continue
         left, right = ("\n" + text)[a], (text + "\n")[b]
-        improbable = model.association(symbols(left + text[a:b] + right)).min() < threshold
-        if improbable and model.log_probability(left + meant + right) - model.log_probability(left + text[a:b] + right) > margin:
+        if model.log_probability(left + meant + right) - model.log_probability(left + text[a:b] + right) > margin:
             text = text[:a] + meant + text[b:]
             undone.append("utf_7 read as ascii")
     return text, undone
 
 
+def variants(text: str, model: PairModel, threshold: float) -> Iterator[str]:
+    """The text, and what its runs may have been between their neighbours: all that ``restore`` weighs."""
+    yield text
+    spans = spans_of(text, model.association(symbols(f"\n{text}\n")), threshold)
+    for a, b in spans:
+        for restored, _, _, swap in _candidates(text[a:b]) if any(c > "\x7e" for c in text[a:b]) else ():
+            yield ("\n" + text)[a] + restored + (text + "\n")[b]
+            if swap:
+                yield "".join(swap.get(c, c) for c in text)
+    for found in _SHIFTED.finditer(text):
+        try:
+            yield ("\n" + text)[found.start()] + base64.b64decode(found[1] + "=" * (-len(found[1]) % 4)).decode("utf-16-be") + (text + "\n")[found.end()]
+        except ValueError:
+            continue
+
+
 def restore(text: str, model: PairModel, threshold: float = -8.0, margin: float = 2.0) -> tuple[str, list[str]]:
     """The restored text and the mappings undone; an empty list where nothing is.
 
-    Runs are restored from right to left, each by the mapping that gains most; a
-    second pass sees the restored neighbours.
+    Runs are restored from right to left, each by the mapping that gains most; further
+    passes see the restored neighbours, until none gains.
     """
     text, undone = _from_utf7(text, model, threshold, margin) if "+" in text else (text, [])
-    for _ in range(2):
+    changed = True
+    while changed:  # every change makes the text more probable, so this ends
         changed = False
         s = symbols("\n" + text + "\n")
         for a, b in reversed(runs_of(text, model.association(s), threshold)):
@@ -337,8 +382,6 @@ def restore(text: str, model: PairModel, threshold: float = -8.0, margin: float
             if best is not None:
                 text, changed = text[:a] + best + text[b:], True
                 undone += names
-        if not changed:
-            break
     return text, undone
 
 
@@ -348,28 +391,50 @@ def find_garbled(df: DataFrame, key: str, text: str, model: PairModel, threshold
     No shuffle: each task scores its own rows, each distinct text of a batch once.
     ``restorable`` is false where a character was lost for good.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.pairs, model.frequency))
-    rows = df.select(F.col(key), F.col(text).alias("original")).where(F.col("original").rlike(r"[^\x00-\x7e]|\+[A-Za-z0-9/]{3}"))
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, original string, restored string, mappings array<string>, restorable boolean"
+    shared = df.sparkSession.sparkContext.broadcast((model.pairs, model.frequency, model.single))
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("original")).where(F.col("original").rlike(r"[^\x00-\x7e]|\+[A-Za-z0-9/]{3}"))
+    rows = rows.withColumn("more", F.lit(None).cast("array<struct<pair:bigint,n:bigint>>"))
+    total = model.total
+    schema = f"_key {rows.schema['_key'].dataType.simpleString()}, original string, restored string, mappings array<string>, restorable boolean"
+
+    def suspects(values: list[str], own: PairModel) -> set[str]:
+        return set(improbable(values, own, threshold)) | {v for v in values if _SHIFTED.search(v)}
+
+    if model.rest is not None:  # what the broadcast table does not hold, for the texts that look improbable without it
+
+        def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = PairModel(*shared.value)
+            for frame in frames:
+                values = list(dict.fromkeys(frame["original"]))
+                found = sorted(suspects(values, own))
+                yield pd.DataFrame({"original": found, "codes": [sorted({c for x in variants(v, own, threshold) for c in own.missing(x)}) for v in found]})
+
+        texts = rows.select("original").mapInPandas(pick, "original string, codes array<bigint>").dropDuplicates(["original"])
+        pairs = texts.select("original", F.explode("codes").alias("pair")).join(model.rest, "pair")
+        fetched = pairs.groupBy("original").agg(F.collect_list(F.struct("pair", "n")).alias("more"))
+        rows = rows.drop("more").join(texts.select("original").join(fetched, "original", "left"), "original").select("_key", "original", "more")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = PairModel(*shared.value)
         known: dict[str, tuple[str, list[str], bool] | None] = {}
 
-        def judge(value: str) -> tuple[str, list[str], bool] | None:
+        def judge(value: str, more) -> tuple[str, list[str], bool] | None:
+            own.more = {x["pair"]: x["n"] / total for x in more} if more is not None else {}
+            runs = runs_of(value, own.association(symbols(f"\n{value}\n")), threshold)
+            lost = any("\ufffd" in value[a:b] for a, b in runs)
             restored, undone = restore(value, own, threshold, margin)
-            lost = "\ufffd" in value
+            own.more = {}
             return (restored, undone, not lost) if undone or lost else None
 
         for frame in frames:
-            values = frame["original"].tolist()
+            values, further = frame["original"].tolist(), dict(zip(frame["original"], frame["more"], strict=True))
             new = [v for v in dict.fromkeys(values) if v not in known]
-            odd = set(improbable(new, own, threshold)) | {v for v in new if _SHIFTED.search(v)}
-            known = {v: known[v] for v in dict.fromkeys(values) if v in known} | {v: judge(v) if v in odd else None for v in new}
+            odd = suspects(new, own)
+            known = {v: known[v] for v in dict.fromkeys(values) if v in known} | {v: judge(v, further[v]) if v in odd else None for v in new}
             hit = [v for v in values if known[v]]
             at = [k for k, v in enumerate(values) if known[v]]
             if not at:
                 continue
-            yield pd.DataFrame({key: frame[key].iloc[at].to_numpy(), "original": hit, "restored": [known[v][0] for v in hit], "mappings": [known[v][1] for v in hit], "restorable": [known[v][2] for v in hit]})
+            yield pd.DataFrame({"_key": frame["_key"].iloc[at].to_numpy(), "original": hit, "restored": [known[v][0] for v in hit], "mappings": [known[v][1] for v in hit], "restorable": [known[v][2] for v in hit]})
 
-    return rows.mapInPandas(search, schema)
+    return rows.mapInPandas(search, schema).withColumnRenamed("_key", key)
