@@ -52,7 +52,7 @@ def test_pairs_equal_brute_force(spark):
     folder = f"{DATA}/sf0.001"
     by = defaultdict(lambda: defaultdict(list))
     for r in A.parsed_records(_address_records(spark, folder), spark.read.parquet(f"{folder}/postal_places.parquet")).collect():
-        by[r.kind, r.block][r.form].append(r.record_id)
+        by[r.block][r.form].append(r.record_id)
     want = set()
     for forms in by.values():
         parent = {f: f for f in forms}

@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import random
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ import pytest
 from tests.conftest import DATA
 from tindra.llm import boilerplate as B
 from tindra.llm.crf import LinearChain
-from tindra.llm.page_blocks import html_blocks, is_headline, page_features
+from tindra.llm.page_blocks import html_blocks, is_headline, page_context, page_features
 
 
 def test_viterbi_equals_enumeration():
@@ -54,9 +55,10 @@ def test_held_out(spark):
     for url, body in pages[200:]:
         blocks, title = html_blocks(body)
         want = B.label_page(blocks)
-        for b in blocks:
-            b.css = "c1" if b.tag in ("p", "span") else "c2" if b.tag[0] == "h" else "c3"
-        got = models["page"].decode(page_features(blocks, title, url, False))
+        blocks = B._renamed(blocks, random.Random(len(body)))
+        assert not any("main" in b.ancestors for b in blocks)
+        got = models["page"].decode(page_features(blocks, title, url))
+        assert got == B._labels(models["page"], blocks, page_context(blocks, title, url))
         for w, g in zip(want, got, strict=True):
             a, b = w in (B.HEADLINE, B.CONTENT), g in (B.HEADLINE, B.CONTENT)
             right, wrong, missed = right + (a and b), wrong + (b and not a), missed + (a and not b)

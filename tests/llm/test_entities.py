@@ -3,9 +3,13 @@
 import itertools
 import math
 
+import pytest
+
+from pyspark.sql import functions as F
+
 from tindra.llm import entities as E
 from tindra.llm.address_parts import Towns
-from tindra.llm.entity_parts import company, name_level, page
+from tindra.llm.entity_parts import company, page
 
 PLACES = [("0105", "HUMMELEIDET", "HUMMELEIDET"), ("0112", "FRØYEIDET", "HUMMELEIDET"), ("0204", "SØLVSJØEN", "SØLVSJØEN")]
 
@@ -14,15 +18,24 @@ def test_parts():
     towns = Towns(PLACES)
     c = company("GLÅFIBRUAIX NORD & CO BAKERI AS", "Hummeleidet", towns)
     assert (c.stem, c.region, c.trade, c.legal) == ("glafibruaix", "nord", "bakeri", "as") and c.municipalities == {"hummeleidet"}
-    for url, title, level in (("https://x.example", "Glåfibruaix Bakeri", 4), ("https://x.example", "Glåfibruiax", 3), ("https://glaafibruaixbakeri.example", "Velkommen", 2), ("https://sosial.example/glafibruaix_bakeri", None, 2), ("https://glafbak.example", "Forside", 1), ("https://x.example", "Forside", 0)):
-        assert name_level(page(url, title, None, towns), c) == level, (url, title)
-    assert page("https://x.example", "Kommer snart", None, towns).status == "parked"
-    assert page("https://glafibruaix-holding.example", "Glåfibruaix Holding", None, towns).status == "related"
-    assert page("https://f.example/sok?q=data", "Bedrifter i Frøyeidet – data", "Frøyeidet", towns).status == "listing"
+    assert company("BAKERI GLÅFIBRUAIX NORD AS", None, towns, frozenset({"bakeri"})) == company("AS GLÅFIBRUAIX NORD BAKERI", None, towns, frozenset({"bakeri"}))
+    assert page("https://x.example", "Kommer snart", None, towns).kind == "parked"
+    assert page("https://glafibruaix-holding.example", "Glåfibruaix Holding", None, towns).kind == "related"
+    assert page("https://f.example/sok?q=data", "Bedrifter i Frøyeidet – data", "Frøyeidet", towns).kind == "listing"
     assert page("https://x.example", "X", "Frøyedet", towns).places == {"hummeleidet"}
+    assert page("https://portal.example/hummeleidet/glafibruaix", None, None, towns).places == {"hummeleidet"}
     assert company(None, None, towns) is None
 
 
+def test_name_levels(spark):
+    places = spark.createDataFrame(PLACES, "postnummer string, poststed string, kommune string")
+    c = spark.createDataFrame([("1", "GLÅFIBRUAIX NORD & CO BAKERI AS", "Hummeleidet", "Brød", 2)], "company string, name string, municipality string, industry string, employees int")
+    want = (("https://x.example", "Glåfibruaix Bakeri", 4), ("https://x.example", "Glåfibruiax", 3), ("https://glaafibruaixbakeri.example", "Velkommen", 2), ("https://sosial.example/glafibruaix_bakeri", None, 2), ("https://glafbak.example", "Forside", 1), ("https://x.example", "Forside", 0))
+    p = spark.createDataFrame([(k, u, t, None, None, None) for k, (u, t, _) in enumerate(want)], "page int, url string, title string, place string, trade string, staff string")
+    got = {r.page: r.name for r in E.described_pairs(E.page_parts(p, places), E.company_parts(c, places)).collect()}
+    assert got == {k: level for k, (_, _, level) in enumerate(want) if level}
+
+
 def exact(edges):
     """Marginals by summing over all assignments that keep both kinds of factors."""
     total, on = 0.0, [0.0] * len(edges)
@@ -54,5 +67,23 @@ def test_matches(spark):
     pages += [(100, "https://q.example", "Glåfibruaix Bakeri", "Sølvsjøen", "bakery", None), (101, None, None, None, None, None), (0, *pages[0][1:]), (None, "u", "Glåfibruaix", None, None, None)]
     p = spark.createDataFrame([(*x, "c") for x in pages], "page int, url string, title string, place string, trade string, staff string, company_name string")
     c = spark.createDataFrame([*companies, (None, "X AS", None, None, None), ("99", None, None, None, None)], "company string, name string, municipality string, industry string, employees int")
+    assert {w for r in E.trades_of_names(c).collect() for w in r.trades} == {"bakeri", "ror"}
     got = {(r.page, r.company) for r in E.match(p, c, places).where("confidence >= 0.5").collect()}
     assert got == {(k, str(k)) for k in range(len(companies))}
+    # Names whose words stand in another order.
+    turned = c.withColumn("name", F.regexp_replace("name", r"^(\S+) (\S+) (\S+)$", "$2 $1 $3"))
+    got = {(r.page, r.company) for r in E.match(p, turned, places).where("confidence >= 0.5").collect()}
+    assert got == {(k, str(k)) for k in range(len(companies))}
+
+
+def test_beliefs_that_do_not_converge_are_told(spark):
+    edges = spark.createDataFrame([(1, "A", "x", 1.5), (1, "B", "x", 0.5), (2, "A", "y", 0.7)], "page int, company string, town string, theta double")
+    with pytest.warns(UserWarning, match="not converged"):
+        E.propagate(edges, 1e-9, 1).collect()
+
+
+def test_many_pages_of_a_company_do_not_saturate(spark):
+    edges = [(k, "A", "x", 3.0) for k in range(400)] + [(1000 + k, "A", "y", 3.0) for k in range(300)]
+    got = E.propagate(spark.createDataFrame(edges, "page int, company string, town string, theta double")).groupBy((F.col("page") < 1000).alias("x")).agg(F.min("confidence"), F.max("confidence")).collect()
+    ends = {r[0]: r[1:] for r in got}
+    assert ends[True][0] > 0.9 and ends[False][1] < 0.01

@@ -1,9 +1,10 @@
 """Address records that denote the same building or post box.
 
 1. Each address text is read into street, number, letter or box, and town
-   (``address_parts``).  Number, letter and town are the *block*; what the street is
-   called in a record is its *form*.  Records with the same block and form are one
-   class from the start, so a place with very many records takes part as one row.
+   (``address_parts``).  House or box, number, letter and town are the *block*; what the
+   street is called in a record is its *form*, empty for a box.  Records with the same
+   block and form are copies and take part as one row, so a place with very many
+   records does not grow the work.
 2. Forms of a block are hashed by MinHash over the padded 2-grams of the name and the
    name as a token; forms that share a band are candidates.
 3. A candidate pair is verified by an affine-gap alignment of its tokens (word
@@ -13,7 +14,8 @@
    need no rounds over the corpus.
 
 Defined results: null and blank addresses, addresses without house or box number
-and addresses whose town cannot be told are in no place.  A record that is repeated
+and addresses that tell no town are in no place.  Where only a municipality of several
+towns is told, these together are the town.  A record that is repeated
 counts once.  Rows may carry any other columns.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tindra.llm.address_parts import Parts, Towns, parse
-from tindra.session import checkpoint
+from tindra.session import stored
 
 #: Bands of one row each: two names that share a quarter of their 2-grams meet in one with probability 0.999.
 BANDS = 24
@@ -126,7 +128,7 @@ def minhashes(forms: pd.Series, bands: int = BANDS) -> list[np.ndarray]:
 
 
 def parsed_records(records: DataFrame, places: DataFrame) -> DataFrame:
-    """(record_id, kind, block, form) of records with columns record_id, address, code, town, municipality.
+    """(record_id, block, form) of records with columns record_id, address, code, town, municipality.
 
     ``places`` is the list of post codes (a fixed public register of a few thousand
     rows); it is collected.
@@ -140,13 +142,13 @@ def parsed_records(records: DataFrame, places: DataFrame) -> DataFrame:
             result = []
             for record, address, code, town, municipality in frame.itertuples(index=False, name=None):
                 parts = parse(address, code, town, municipality, known)
-                if parts and len(parts.towns) == 1:
-                    result.append((record, parts.kind, f"{parts.towns[0]}|{parts.number}{parts.letter}", form_of(parts)))
-            yield pd.DataFrame(result, columns=["record_id", "kind", "block", "form"])
+                if parts and parts.towns:
+                    result.append((record, f"{parts.kind}|{'/'.join(sorted(parts.towns))}|{parts.number}{parts.letter}", form_of(parts)))
+            yield pd.DataFrame(result, columns=["record_id", "block", "form"])
 
     rows = records.select(*(F.col(c).cast("string") for c in ("record_id", "address", "code", "town", "municipality")))
     rows = rows.where(r"record_id is not null and address rlike '\\d'")
-    return rows.mapInPandas(read, "record_id string, kind string, block string, form string").distinct()
+    return rows.mapInPandas(read, "record_id string, block string, form string").distinct()
 
 
 def _links(forms: DataFrame) -> DataFrame:
@@ -207,17 +209,16 @@ def unite(links: DataFrame, block: str, a: str, b: str) -> DataFrame:
 
 
 def places_of(records: DataFrame, places: DataFrame) -> DataFrame:
-    """(record_id, place_id): one row of each record that names a place; checkpoints the parsed records."""
-    parsed = checkpoint(parsed_records(records, places))
-    forms = parsed.where("kind = 'house'").select("block", "form").distinct()
-    labels = unite(_links(forms), "block", "a", "b").withColumnRenamed("node", "form")
+    """(record_id, place_id): one row of each record that names a place; stores the parsed records."""
+    parsed = stored(parsed_records(records, places))
+    labels = unite(_links(parsed.select("block", "form").distinct()), "block", "a", "b").withColumnRenamed("node", "form")
     named = parsed.join(labels, ["block", "form"], "left")
-    return named.select("record_id", F.md5(F.concat_ws("#", "kind", "block", F.coalesce("label", "form"))).alias("place_id"))
+    return named.select("record_id", F.md5(F.concat_ws("#", "block", F.coalesce("label", "form"))).alias("place_id"))
 
 
 def same_place_pairs(records: DataFrame, places: DataFrame) -> DataFrame:
-    """(address_a, address_b), address_a < address_b: all pairs of records of one place."""
-    members = places_of(records, places)
+    """(address_a, address_b), address_a < address_b: all pairs of records of one place.  Stores the members of all places."""
+    members = stored(places_of(records, places))
     several = members.groupBy("place_id").agg(F.count("*").alias("n")).where("n > 1").select("place_id")
     kept = members.join(several, "place_id", "left_semi")
     a, b = kept.withColumnRenamed("record_id", "address_a"), kept.withColumnRenamed("record_id", "address_b")

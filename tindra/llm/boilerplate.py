@@ -8,9 +8,9 @@ decoded by Viterbi.
 outside is furniture, and inside headings, quotes, list items and sentences are
 content.  At most ``sample`` such pages (those with the least hash of their key, so
 the choice does not depend on order) are collected for training, each also in forms
-without the declaring markup: as plain containers, as extracted text, and as loose
-lines.  So the model has to know the others by their text, their container and
-their neighbours.
+without the declaring markup: with other element and class names, as extracted text,
+and as loose lines.  So the model has to know the others by their text, by their
+ancestors as compared with the headline's, and by their neighbours.
 
 Defined results: null, empty and JSON bodies have no content; neither have texts of
 which no line is content.  Where no page declares its main part nothing can be learnt
@@ -26,12 +26,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tindra.llm.crf import LinearChain
-from tindra.llm.page_blocks import Block, html_blocks, is_html, line_blocks, page_features, sequence_features, text_features, words
+from tindra.llm.page_blocks import Block, html_blocks, is_html, line_blocks, page_context, page_features, sequence_context, sequence_features, text_features, words
 from tindra.operators.sampling import least_hashed
 
 OUTSIDE, HEADLINE, CONTENT, INSIDE = range(4)
@@ -163,6 +164,19 @@ def _titles(pages: list[tuple[list[Block], list[int]]], rng: random.Random) -> t
     return sequences, labels
 
 
+def _renamed(blocks: list[Block], rng: random.Random) -> list[Block]:
+    """The page as another author would have marked it up: other names of classes and, by chance, of its elements; ``main`` is always another."""
+    css = f"c{rng.randrange(900)}", f"c{rng.randrange(900)}", f"c{rng.randrange(900)}"
+    tags: dict[str, str] = {}
+    regions: dict[str, str] = {}
+    result = []
+    for b in blocks:
+        tag = tags.setdefault(b.tag, rng.choice((b.tag, "div", "td", "span", "p")))
+        inside = [regions.setdefault(a, rng.choice(("", "", "section", "article", "table") if a == "main" else (a, "", "section", "article", "table"))) for a in b.ancestors]
+        result.append(replace(b, css=css[0 if b.tag in ("p", "span") else 1 if b.tag in _HEADINGS else 2], tag=tag, ancestors=tuple(a for a in inside if a)))
+    return result
+
+
 def train(pages: list[tuple[str, str]], seed: int = 7) -> dict[str, LinearChain]:
     """The models for pages, extracted texts, loose lines and titles from (url, body) of pages that declare a main part."""
     rng = random.Random(seed)
@@ -172,11 +186,9 @@ def train(pages: list[tuple[str, str]], seed: int = 7) -> dict[str, LinearChain]
     x, y = [], []
     for url, blocks, title, labels in read:
         if rng.random() < 0.3:
-            x.append(page_features(blocks, title, url, True))
+            x.append(page_features(blocks, title, url))
             y.append(labels)
-        name = f"c{rng.randrange(900)}", f"c{rng.randrange(900)}", f"c{rng.randrange(900)}"
-        plain = [replace(b, css=name[0 if t == "p" or t == "span" else 1 if t in _HEADINGS else 2]) for b in blocks for t in (b.tag,)]
-        x.append(page_features(plain, title, url, False))
+        x.append(page_features(_renamed(blocks, rng), title, url))
         y.append(labels)
     models = {"page": LinearChain(4).fit(x, y)}
     texts = [(url, *_as_text(blocks, labels, rng)) for url, blocks, _, labels in read for _ in range(2)]
@@ -187,6 +199,23 @@ def train(pages: list[tuple[str, str]], seed: int = 7) -> dict[str, LinearChain]
     return models
 
 
+#: Texts whose score is remembered, at most: menus and notices recur on page after page.
+_REMEMBERED = 50_000
+
+
+def _labels(model: LinearChain, blocks: list[Block], context: list[list[str]] | None = None) -> list[int]:
+    """The decoded labels of blocks by their texts and what else is known of them."""
+    known = model.__dict__.setdefault("remembered", {})
+    scores = np.zeros((len(blocks), model.labels))
+    for k, b in enumerate(blocks):
+        if (own := known.get(b.text)) is None:
+            if len(known) >= _REMEMBERED:
+                known.clear()
+            own = known[b.text] = model.score(text_features(b.text))
+        scores[k] = own if context is None else own + model.score(context[k])
+    return model.viterbi(scores)
+
+
 def content_lines(text: str, url: str, kind: str, models: dict[str, LinearChain]) -> list[int]:
     """The numbers of the lines with main content; ``kind`` is page, lines or title."""
     if not text or not text.strip() or is_json(text):
@@ -201,14 +230,13 @@ def content_lines(text: str, url: str, kind: str, models: dict[str, LinearChain]
         return found
     if kind == "page" and is_html(text):
         blocks, title = html_blocks(text)
-        declared = any("main" in b.ancestors for b in blocks)
-        labels = models["page"].decode(page_features(blocks, title, url, declared))
+        labels = _labels(models["page"], blocks, page_context(blocks, title, url))
     elif kind == "page":
         blocks = line_blocks(text)
-        labels = models["text"].decode(sequence_features(blocks, url))
+        labels = _labels(models["text"], blocks, sequence_context(blocks, url))
     else:
         blocks = line_blocks(text)
-        labels = models["lines"].decode([text_features(b.text) for b in blocks])
+        labels = _labels(models["lines"], blocks)
     return sorted({line for b, y in zip(blocks, labels, strict=True) if y in (HEADLINE, CONTENT) for line in b.lines})
 
 

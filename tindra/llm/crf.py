@@ -74,11 +74,20 @@ class LinearChain:
                 p -= self.rate * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-8)
         return self
 
+    def score(self, features: list[str]) -> np.ndarray:
+        """What a position's features say for each label."""
+        get = self.index.get
+        ids = [k for f in features if (k := get(f)) is not None]
+        return self.weights[ids].sum(0) if ids else np.zeros(self.labels)
+
     def decode(self, positions: list[list[str]]) -> list[int]:
         """The most probable labels (Viterbi)."""
-        if not positions:
+        return self.viterbi(np.array([self.score(f) for f in positions]))
+
+    def viterbi(self, scores: np.ndarray) -> list[int]:
+        """The most probable labels of a sequence from the scores of its positions."""
+        if not len(scores):
             return []
-        scores = np.array([self.weights[ids].sum(0) if ids else np.zeros(self.labels) for ids in self._ids(positions)])
         best = scores[0] + self.first
         back = []
         for t in range(1, len(scores)):

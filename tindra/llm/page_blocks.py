@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 from html import unescape
@@ -51,13 +52,14 @@ def html_blocks(text: str) -> tuple[list[Block], str]:
     parts: list[tuple[int, str, bool]] = []  # place, text, in a link
     title: list[str] = []
     linked = 0
+    breaks = [found.start() for found in re.finditer("\n", text)]
 
     def flush() -> None:
         if parts and any(p[1].strip() for p in parts):
             joined = " ".join(unescape(p[1]) for p in parts)
             lines = set()
             for at, part, _ in parts:
-                line = text.count("\n", 0, at)
+                line = bisect_left(breaks, at)
                 for k, piece in enumerate(part.split("\n")):
                     if piece.strip():
                         lines.add(line + k)
@@ -165,8 +167,8 @@ def text_features(text: str) -> list[str]:
     return out
 
 
-def page_features(blocks: list[Block], title: str, url: str, tags: bool) -> list[list[str]]:
-    """Features of each block of a page; ``tags`` says whether the markup's element names are to be used."""
+def page_context(blocks: list[Block], title: str, url: str) -> list[list[str]]:
+    """Features of each block of a page but for its text: its tag and ancestors, alone and against those of the headline, its container and its place."""
     path = [s for s in re.sub(r"^[a-z]+://[^/]*", "", url or "").split("?")[0].split("/") if s]
     url_slug = path[-1] if path else ""
     heads = [k for k, b in enumerate(blocks) if is_headline(b.text, title, url_slug)]
@@ -176,19 +178,19 @@ def page_features(blocks: list[Block], title: str, url: str, tags: bool) -> list
     # Of several blocks that could be the headline, the one in the container with most sentences.
     sentences = {c: sum(1 for b in own if b.text[-1:] in ".!?»" and len(b.text) > 40) for c, own in by_container.items()}
     head = max(heads, key=lambda k: (sentences[blocks[k].container], blocks[k].linked < 0.5, -k), default=None)
-    order = list(by_container)
+    order = {c: k for k, c in enumerate(by_container)}
+    links = {c: int(3 * sum(x.linked > 0.8 for x in own) / len(own)) for c, own in by_container.items()}
     main = blocks[head].container if head is not None else None
     css = Counter(b.css for b in blocks)
     common = css.most_common(1)[0][0] if css else ""
     has_main = any("main" in b.ancestors for b in blocks)
     result = []
     for k, b in enumerate(blocks):
-        out = text_features(b.text)
-        out.append("linked" if b.linked > 0.8 else "part linked" if b.linked > 0 else "not linked")
+        out = ["linked" if b.linked > 0.8 else "part linked" if b.linked > 0 else "not linked"]
         own = by_container[b.container]
-        out.append(f"container links={int(3 * sum(x.linked > 0.8 for x in own) / len(own))}")
+        out.append(f"container links={links[b.container]}")
         out.append(f"container size={min(len(own), 4)}")
-        place = "none" if main is None else "same" if b.container == main else "before" if order.index(b.container) < order.index(main) else "after"
+        place = "none" if main is None else "same" if b.container == main else "before" if order[b.container] < order[main] else "after"
         out.append("container=" + place)
         sentence = "sentence" if b.text[-1:] in ".!?»" and len(b.text) > 20 else "words"
         out.append(f"container={place} {sentence}")
@@ -199,20 +201,27 @@ def page_features(blocks: list[Block], title: str, url: str, tags: bool) -> list
             if b.css and b.css == blocks[head].css:
                 out.append("head's class")
                 out.append("head's class " + place)
+            out.append("head's ancestors " + sentence if b.ancestors == blocks[head].ancestors else "other ancestors " + sentence)
+            out.append("head's tag" if b.tag == blocks[head].tag else "other tag")
         out.append("common class" if b.css == common else "rare class")
         if b.css and b.css != common:
             out.append(f"rare class {place} {sentence}")
-        if tags:
-            out.append("tag=" + b.tag)
-            out.extend("in=" + a for a in set(b.ancestors))
-            out.append(("in main " if "main" in b.ancestors else "out of main " if has_main else "no main ") + b.tag)
-            out.append(("in main " if "main" in b.ancestors else "out of main " if has_main else "no main ") + sentence)
+        out.append("tag=" + b.tag)
+        out.extend("in=" + a for a in set(b.ancestors))
+        out.append(f"depth={min(len(b.ancestors), 3)}")
+        if has_main:
+            inside = "in main " if "main" in b.ancestors else "out of main "
+            out += [inside + b.tag, inside + sentence]
         result.append(out)
     return result
 
 
-def sequence_features(blocks: list[Block], url: str) -> list[list[str]]:
-    """Features of each line of an extracted text."""
+def page_features(blocks: list[Block], title: str, url: str) -> list[list[str]]:
+    return [text_features(b.text) + own for b, own in zip(blocks, page_context(blocks, title, url), strict=True)]
+
+
+def sequence_context(blocks: list[Block], url: str) -> list[list[str]]:
+    """Features of each line of an extracted text but for its text: its neighbours and its place."""
     path = [s for s in re.sub(r"^[a-z]+://[^/]*", "", url or "").split("?")[0].split("/") if s]
     heads = [k for k, b in enumerate(blocks) if is_headline(b.text, "", path[-1] if path else "")]
     sentence = [b.text[-1:] in ".!?»" and len(b.text) > 30 for b in blocks]
@@ -220,7 +229,7 @@ def sequence_features(blocks: list[Block], url: str) -> list[list[str]]:
     head = max(heads, key=lambda k: (blocks[k].text[:2] not in ("- ", "• ", "* "), sum(sentence[k : k + 8]), -k), default=None)
     result = []
     for k, b in enumerate(blocks):
-        out = text_features(b.text)
+        out = []
         for d in (-2, -1, 1, 2):
             out.append(f"{d}:{'sentence' if 0 <= k + d < len(blocks) and sentence[k + d] else 'words' if 0 <= k + d < len(blocks) else 'end'}")
         if head is not None:
@@ -229,3 +238,7 @@ def sequence_features(blocks: list[Block], url: str) -> list[list[str]]:
         out.append(f"tenth={int(10 * k / len(blocks))}")
         result.append(out)
     return result
+
+
+def sequence_features(blocks: list[Block], url: str) -> list[list[str]]:
+    return [text_features(b.text) + own for b, own in zip(blocks, sequence_context(blocks, url), strict=True)]
