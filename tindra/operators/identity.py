@@ -76,3 +76,61 @@ def assess(df: DataFrame, ordered: list[tuple[str, Column, float]] | None = None
     judged = df.withColumn("_j", chosen.otherwise(last) if chosen is not None else last)
     status = F.when(F.col("_j.score") >= 0.9, "exact").when(F.col("_j.score") >= 0.8, "review").otherwise("uncertain")
     return judged.withColumns({"score": F.col("_j.score"), "reason": F.col("_j.reason"), "status": status}).drop("_j")
+
+
+#: Words that many companies have in their names; alone they name none.
+GENERIC_WORDS = ("norge", "norway", "norsk", "nordic", "bygg", "eiendom", "service", "gruppen", "group", "holding", "invest", "drift", "transport", "consulting", "data", "energi", "helse")
+
+
+def social_rules() -> list[tuple[str, Column, float]]:
+    """(reason, condition, score), in order, over the features of ``with_social_features``."""
+    c = F.col
+    return [
+        ("account of a platform", c("is_platform"), 0.1),
+        ("other legal form", c("other_form"), 0.3),
+        ("generic words only", c("generic_only"), 0.3),
+        ("whole name", (c("name_words") > 0) & c("whole_in_account"), 0.98),
+        ("single word of the name", (c("name_words") == 1) & (c("shared_words") == 1), 0.95),
+        ("most of the name", (c("shared_words") >= 2) & (c("shared_words") >= 0.75 * c("name_words")), 0.9),
+        ("name of the site", ~c("is_branch") & c("is_site_name"), 0.92),
+    ]
+
+
+def with_social_features(df: DataFrame, name: str, legal_form: str, url: str, root: Column, branch: Column) -> DataFrame:
+    """Adds the features of (company, profile) rows; ``root`` is the name of the verified site, ``branch`` whether the company is a branch of whom that belongs to."""
+    from tindra.functions.names import PLATFORM_ACCOUNTS, account, account_is_site
+    from tindra.functions.urls import path
+
+    words, handle = tokens(F.col(name)), account(F.col(url))
+    parts = tokens(path(F.col(url)), legal_words=True)
+    said = F.filter(words, lambda w: F.contains(compact(path(F.col(url))), w))
+    forms = ("as", "asa", "da", "ans", "sa", "nuf", "ab", "enk", "ks", "iks")
+    return df.withColumns(
+        {
+            "name_words": F.size(words),
+            "shared_words": F.size(said),
+            "whole_in_account": F.contains(compact(path(F.col(url))), F.array_join(words, "")),
+            "generic_only": (F.size(said) > 0) & F.forall(said, lambda w: w.isin(*GENERIC_WORDS)),
+            "is_platform": handle.isin(*PLATFORM_ACCOUNTS),
+            "other_form": F.exists(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda w: w.isin(*forms) & (w != F.lower(F.coalesce(F.col(legal_form), F.lit(""))))),
+            "is_branch": F.coalesce(branch, F.lit(False)),
+            "is_site_name": F.coalesce(account_is_site(handle, root), F.lit(False)),
+        }
+    )
+
+
+def assess_social(df: DataFrame) -> DataFrame:
+    """Adds ``score``, ``reason`` and ``status`` to rows with social features."""
+    return assess(df, social_rules(), ("no strong sign of the name", 0.3))
+
+
+def gated(pages: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
+    """(key, publishable, kept, quarantined): whether a company's page is taken for its own, and of the profiles it links how many are kept.
+
+    A profile is kept when the page and the profile are both exact.
+    """
+    page = pages.groupBy(key).agg(F.max(F.col("status") == "exact").alias("publishable"))
+    counts = profiles.groupBy(key).agg(F.count_if(F.col("status") == "exact").alias("_exact"), F.count("*").alias("_all"))
+    joined = page.join(counts, key, "left").na.fill(0, ["_exact", "_all"])
+    kept = F.when(F.col("publishable"), F.col("_exact")).otherwise(0)
+    return joined.select(key, "publishable", kept.alias("kept"), (F.col("_all") - kept).alias("quarantined"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +27,36 @@ ALIASES = {
 }
 
 
-def sniff(path: str, size: int = 8192) -> tuple[str, str]:
-    """("json" or "csv", delimiter) of a file, told from its first bytes; gzip is known by its mark or its name.
+def _head(spark: SparkSession, path: str, size: int) -> bytes | None:
+    """The first bytes of a file, or of the first file of a folder, on any file system that Spark reads; None where there is none."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(place):
+        raise FileNotFoundError(path)
+    if files.getFileStatus(place).isDirectory():
+        found = sorted((f.getPath().toString() for f in files.listStatus(place) if f.isFile() and f.getPath().getName()[0] not in "._"), key=str)
+        if not found:
+            return None
+        place = jvm.org.apache.hadoop.fs.Path(found[0])
+    stream = files.open(place)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+def sniff(spark: SparkSession, path: str, size: int = 8192) -> tuple[str, str]:
+    """("json" or "csv", delimiter) of a file, told from its first bytes; gzip is known by its mark.
 
     A file that only points to one kept elsewhere is an error.
     """
-    first = next((p for p in sorted(Path(path).iterdir()) if p.is_file() and p.name[0] not in "._"), None) if Path(path).is_dir() else Path(path)
-    if first is None:
+    head = _head(spark, path, size)
+    if head is None:
         return "json", ""
-    with first.open("rb") as f:
-        head = f.read(2)
-    with (gzip.open if head == b"\x1f\x8b" else open)(first, "rb") as f:
-        text = f.read(size).decode("utf-8-sig", "replace")
+    if head[:2] == b"\x1f\x8b":
+        head = zlib.decompressobj(31).decompress(head, size)
+    text = head.decode("utf-8-sig", "replace")
     if text.startswith("version https://git-lfs"):
         raise ValueError(f"{path} is a pointer, the file itself is elsewhere")
     line = next((x for x in text.splitlines() if x.strip()), "")
@@ -67,7 +85,7 @@ def normalised(raw: DataFrame) -> DataFrame:
 
 def read_bulk(spark: SparkSession, path: str) -> DataFrame:
     """A registry dump as CSV or JSON lines, gzipped or not; blank and broken lines are skipped."""
-    kind, delimiter = sniff(path)
+    kind, delimiter = sniff(spark, path)
     if kind == "json":
         raw = spark.read.option("mode", "DROPMALFORMED").option("primitivesAsString", True).json(path)
     else:
@@ -89,15 +107,18 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, organisation_number) from a text file or JSON lines, in the order of the file.
+    """(ordinal, organisation_number, evaluation_split, sample_slice) from a text file, JSON lines, a JSON list or ``{"organisation_numbers": [...]}``, in the order of the file.
 
     Only digits count, and there have to be nine; a number that is asked for twice is
     an error.  A list of requests is one small file, read whole.
     """
-    lines = [x for x in Path(path).read_text("utf-8-sig").splitlines() if x.strip()]
-    rows = spark.createDataFrame(list(enumerate(lines)), "ordinal int, line string")
-    said = F.coalesce(F.get_json_object("line", "$.organisation_number"), F.when(~F.col("line").startswith("{"), F.col("line")))
-    numbers = rows.select("ordinal", digits(said).alias("organisation_number"))
+    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    listed = F.coalesce(F.get_json_object("value", "$.organisation_numbers"), F.when(F.trim("value").startswith("["), F.col("value")))
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    rows = whole.select(F.posexplode(F.coalesce(F.from_json(listed, "array<string>"), lines)).alias("ordinal", "line"))
+    said = F.coalesce(F.get_json_object("line", "$.organisation_number"), F.when(~F.trim("line").startswith("{"), F.col("line")))
+    extra = lambda c: F.get_json_object("line", f"$.{c}").alias(c)
+    numbers = rows.select("ordinal", digits(said).alias("organisation_number"), extra("evaluation_split"), extra("sample_slice"))
     wrong = numbers.where(F.length("organisation_number") != 9).limit(10).collect()
     twice = numbers.groupBy("organisation_number").count().where("count > 1").limit(10).collect()
     if wrong or twice:
