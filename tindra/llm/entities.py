@@ -58,11 +58,12 @@ def _towns(places: DataFrame) -> list[tuple[str, str, str]]:
     return [tuple(r) for r in places.select("postnummer", "poststed", "kommune").distinct().collect()]
 
 
-def trades_of_names(companies: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
+def trades_of_names(companies: DataFrame, partners: int = 8, share: float = 0.5) -> DataFrame:
     """(company, trades): the words of each company's name that tell a trade.
 
-    Such a word occurs in ``least`` names, with different words before or after it, and
-    in a ``share`` of them with one industry.  Counted and met by joins over all companies.
+    Such a word stands beside at least ``partners`` different words, each counted once,
+    and most of its names (``share``) are of one industry; a word that names somebody
+    stands beside few.  Counted and met by joins over all companies.
     """
 
     @F.pandas_udf("array<string>")
@@ -70,10 +71,10 @@ def trades_of_names(companies: DataFrame, least: int = 3, share: float = 0.5) ->
         return pd.Series([sorted(set(name_words(n)[0])) if isinstance(n, str) else [] for n in names], dtype=object)
 
     words = companies.select("company", "industry", words_of("name").alias("_w")).withColumn("word", F.explode("_w"))
-    partner = F.get(F.filter("_w", lambda w: w != F.col("word")), 0)
-    counts = words.groupBy("word", "industry").agg(F.count("*").alias("n"), F.min(partner).alias("a"), F.max(partner).alias("b"))
-    best = counts.groupBy("word").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.min("a").alias("a"), F.max("b").alias("b"))
-    told = best.where((F.col("all") >= least) & (F.col("top") >= share * F.col("all")) & (F.col("a") != F.col("b")))
+    beside = words.select("word", F.explode("_w").alias("other")).where(F.col("word") != F.col("other")).distinct().groupBy("word").agg(F.count("*").alias("partners"))
+    counts = words.groupBy("word", "industry").agg(F.count("*").alias("n"))
+    best = counts.groupBy("word").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
+    told = best.join(beside, "word").where((F.col("partners") >= partners) & (F.col("top") >= share * F.col("all")))
     found = words.join(told.select("word"), "word").groupBy("company").agg(F.collect_set("word").alias("trades"))
     return companies.select("company").join(found, "company", "left").select("company", F.coalesce("trades", F.array().cast("array<string>")).alias("trades"))
 
