@@ -285,3 +285,12 @@ def phrases_in_titles(spark, folder):
     rows = load(spark, folder, "activities").select("activity_id", "title").distinct().withColumn("w", words)
     lits = lambda *ws: F.array(*(F.lit(w) for w in ws))
     return rows.select("activity_id", text.has_phrase(F.col("w"), lits("ny", "avtale")).alias("has_phrase"), text.overlap(F.col("w"), lits("ny", "avtale", "og")).alias("shared"))
+
+
+@query(f"""WITH {_EVIDENCE}, {_SCREEN}, f AS (SELECT organisation_number FROM base WHERE trim(coalesce(website, '')) <> '' AND revenue > 5000000)
+SELECT organisation_number, field AS module, source_url, retrieved_at, content_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY organisation_number, field ORDER BY ingested_at DESC, evidence_id DESC) AS rn3 FROM ev WHERE state = 'available' AND field IN ('financials', 'website') AND organisation_number IN (SELECT organisation_number FROM f)) WHERE rn3 = 1""")
+def screen_citations(spark, folder):
+    """What the companies with a website and more than 5 million of revenue rest on."""
+    plan = screen.parse("companies with a website and revenue over 5 million")
+    known = _evidence(spark, folder, "organisation_number", "field", "ingested_at", "source_url", "retrieved_at", "content_sha256")
+    return screen.cited(screen.run(_screen_base(spark, folder), plan), known, plan)
