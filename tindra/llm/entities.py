@@ -47,6 +47,8 @@ FEATURES = {"name": (1, 2, 3, 4), "trade": (-1, 0, 1), "place": (-1, 0, 1), "reg
 #: Log odds that a page of this kind adds to each of its pairs.
 KINDS = {"": 0.0, "related": -12.0, "parked": -12.0, "listing": -12.0}
 _CLIP = 30.0
+#: Letters of a url label by which it meets names; what follows is compared in the pair.
+_PREFIX = 8
 
 
 def _deletions(word: str) -> set[str]:
@@ -96,7 +98,7 @@ def page_parts(pages: DataFrame, places: DataFrame) -> DataFrame:
                         if w.endswith("s"):
                             keys |= {"d" + x for x in _deletions(w[:-1])}
                 for label in p.labels:
-                    keys |= {"u" + label[:n] for n in range(3, len(label) + 1)}
+                    keys |= {"u" + label[:n] for n in range(3, min(len(label), _PREFIX) + 1)}
                     keys.add("a" + label)
                 digits = "".join(x for x in staff or "" if x in "0123456789")[:9]
                 rows.append((key, p.kind, p.words, p.labels, p.region, p.legal, sorted(p.places), "=" + plain(trade) if trade else None, int(digits) if digits else None, sorted(keys)))
@@ -118,7 +120,7 @@ def company_parts(companies: DataFrame, places: DataFrame) -> DataFrame:
                 c = company(name, municipality, towns, frozenset(trades))
                 if c:
                     short = sorted(shortened(c))
-                    keys = {"u" + c.stem, *("d" + x for x in _deletions(c.stem)), *("a" + x for x in short)}
+                    keys = {"u" + c.stem[:_PREFIX], *("d" + x for x in _deletions(c.stem)), *("a" + x for x in short)}
                     rows.append((key, c.stem, c.region, c.trade, c.legal, sorted(c.municipalities), industry, employees, short, sorted(keys)))
             yield pd.DataFrame(rows, columns=["company", "stem", "own_region", "own_trade", "own_legal", "towns", "industry", "employees", "short", "own_keys"]).astype({"employees": "Int64"})
 
