@@ -199,45 +199,67 @@ def train(pages: list[tuple[str, str]], seed: int = 7) -> dict[str, LinearChain]
     return models
 
 
-#: Texts whose score is remembered, at most: menus and notices recur on page after page.
+#: Texts, and contexts, whose score is remembered, at most: menus and notices recur on page after page.
 _REMEMBERED = 50_000
+#: Texts that are decoded at once.
+_AT_ONCE = 500
 
 
-def _labels(model: LinearChain, blocks: list[Block], context: list[list[str]] | None = None) -> list[int]:
-    """The decoded labels of blocks by their texts and what else is known of them."""
-    known = model.__dict__.setdefault("remembered", {})
+def _recalled(model: LinearChain, kind: str, key, features) -> np.ndarray:
+    known = model.__dict__.setdefault(kind, {})
+    if (own := known.get(key)) is None:
+        if len(known) >= _REMEMBERED:
+            known.clear()
+        own = known[key] = model.score(features())
+    return own
+
+
+def _scores(model: LinearChain, blocks: list[Block], context: list[list[str]] | None = None) -> np.ndarray:
+    """The scores of blocks by their texts and what else is known of them."""
     scores = np.zeros((len(blocks), model.labels))
     for k, b in enumerate(blocks):
-        if (own := known.get(b.text)) is None:
-            if len(known) >= _REMEMBERED:
-                known.clear()
-            own = known[b.text] = model.score(text_features(b.text))
-        scores[k] = own if context is None else own + model.score(context[k])
-    return model.viterbi(scores)
+        own = _recalled(model, "texts", b.text, lambda b=b: text_features(b.text))
+        scores[k] = own if context is None else own + _recalled(model, "contexts", tuple(context[k]), lambda k=k: context[k])
+    return scores
+
+
+def _labels(model: LinearChain, blocks: list[Block], context: list[list[str]] | None = None) -> list[int]:
+    return model.viterbi(_scores(model, blocks, context))
+
+
+def contents(texts: list[str], urls: list[str], kind: str, models: dict[str, LinearChain]) -> list[list[int]]:
+    """The numbers of the lines with main content of each text; ``kind`` is page, lines or title."""
+    found: list[set[int]] = [set() for _ in texts]
+    waiting: dict[str, list[tuple[int, list[list[int]], np.ndarray]]] = {}
+    for k, (text, url) in enumerate(zip(texts, urls, strict=True)):
+        if not text or not text.strip() or is_json(text):
+            continue
+        if kind == "title":
+            model = models["title"]
+            for n, line in enumerate(text.split("\n")):
+                parts = title_parts(line) if line.strip() else []
+                size = f"parts={min(len(parts), 3)}"
+                if parts:
+                    scores = np.array([_recalled(model, "texts", (p, size), lambda p=p, size=size: [*text_features(p), size]) for p in parts])
+                    waiting.setdefault("title", []).append((k, [[n]] * len(parts), scores))
+            continue
+        if kind == "page" and is_html(text):
+            blocks, title = html_blocks(text)
+            name, context = "page", page_context(blocks, title, url)
+        elif kind == "page":
+            blocks = line_blocks(text)
+            name, context = "text", sequence_context(blocks, url)
+        else:
+            name, blocks, context = "lines", line_blocks(text), None
+        waiting.setdefault(name, []).append((k, [b.lines for b in blocks], _scores(models[name], blocks, context)))
+    for name, own in waiting.items():
+        for (k, lines, _), labels in zip(own, models[name].viterbi_all([s for _, _, s in own]), strict=True):
+            found[k].update(n for at, y in zip(lines, labels, strict=True) if y in (HEADLINE, CONTENT) for n in at)
+    return [sorted(x) for x in found]
 
 
 def content_lines(text: str, url: str, kind: str, models: dict[str, LinearChain]) -> list[int]:
-    """The numbers of the lines with main content; ``kind`` is page, lines or title."""
-    if not text or not text.strip() or is_json(text):
-        return []
-    if kind == "title":
-        found = []
-        for k, line in enumerate(text.split("\n")):
-            parts = title_parts(line) if line.strip() else []
-            labels = models["title"].decode([[*text_features(p), f"parts={min(len(parts), 3)}"] for p in parts])
-            if HEADLINE in labels or CONTENT in labels:
-                found.append(k)
-        return found
-    if kind == "page" and is_html(text):
-        blocks, title = html_blocks(text)
-        labels = _labels(models["page"], blocks, page_context(blocks, title, url))
-    elif kind == "page":
-        blocks = line_blocks(text)
-        labels = _labels(models["text"], blocks, sequence_context(blocks, url))
-    else:
-        blocks = line_blocks(text)
-        labels = _labels(models["lines"], blocks)
-    return sorted({line for b, y in zip(blocks, labels, strict=True) if y in (HEADLINE, CONTENT) for line in b.lines})
+    return contents([text], [url], kind, models)[0]
 
 
 def training_pages(pages: DataFrame, key: str, url: str, body: str, sample: int = SAMPLE) -> list[tuple[str, str]]:
@@ -255,11 +277,13 @@ def extract(df: DataFrame, key: str, text: str, kind: str, models: dict[str, Lin
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for frame in frames:
-            out = []
-            for record, address, value in frame.itertuples(index=False, name=None):
-                lines = value.split("\n")
-                out.extend((record, k, lines[k]) for k in content_lines(value, address or "", kind, own))
-            yield pd.DataFrame(out, columns=["record_id", "line_no", "line"])
+            for start in range(0, len(frame), _AT_ONCE):
+                part = frame.iloc[start : start + _AT_ONCE]
+                texts, out = part["text"].tolist(), []
+                for record, text, numbers in zip(part["record_id"], texts, contents(texts, [u or "" for u in part["url"]], kind, own), strict=True):
+                    lines = text.split("\n") if numbers else []
+                    out.extend((record, k, lines[k]) for k in numbers)
+                yield pd.DataFrame(out, columns=["record_id", "line_no", "line"])
 
     found = rows.where(r"record_id is not null and text rlike '\\S'").mapInPandas(find, "record_id string, line_no int, line string")
     return found.dropDuplicates(["record_id", "line_no"])

@@ -86,18 +86,37 @@ class LinearChain:
 
     def viterbi(self, scores: np.ndarray) -> list[int]:
         """The most probable labels of a sequence from the scores of its positions."""
-        if not len(scores):
-            return []
+        return self.viterbi_all([scores])[0]
+
+    def viterbi_all(self, sequences: list[np.ndarray]) -> list[list[int]]:
+        """The most probable labels of many sequences, all of them a step at a time, the long ones first."""
+        order = sorted((k for k, x in enumerate(sequences) if len(x)), key=lambda k: -len(sequences[k]))
+        result: list[list[int]] = [[] for _ in sequences]
+        if not order:
+            return result
+        lengths = np.array([len(sequences[k]) for k in order])
+        width = int(lengths[0])
+        scores = np.zeros((width, len(order), self.labels))
+        for row, k in enumerate(order):
+            scores[: lengths[row], row] = sequences[k]
+        active = np.searchsorted(-lengths, -np.arange(1, width + 1), side="right")  # how many have more than t positions
         best = scores[0] + self.first
-        back = []
-        for t in range(1, len(scores)):
-            through = best[:, None] + self.steps
-            back.append(through.argmax(0))
-            best = through.max(0) + scores[t]
-        path = [int(best.argmax())]
-        for pointers in reversed(back):
-            path.append(int(pointers[path[-1]]))
-        return path[::-1]
+        back = np.zeros((width, len(order), self.labels), dtype=np.int8)
+        for t in range(1, width):
+            n = active[t]
+            through = best[:n, :, None] + self.steps
+            back[t, :n] = through.argmax(1)
+            best[:n] = through.max(1) + scores[t, :n]
+        path = np.zeros((width, len(order)), dtype=np.int8)
+        label, rows = best.argmax(1), np.arange(len(order))
+        for t in range(width - 1, -1, -1):
+            n = active[t]
+            path[t, :n] = label[:n]
+            if t:
+                label[:n] = back[t, rows[:n], label[:n]]
+        for row, k in enumerate(order):
+            result[k] = path[: lengths[row], row].tolist()
+        return result
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
