@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +90,21 @@ def validate(df: DataFrame, key: str, status: str, states: tuple[str, ...], expe
     )
     right = (F.col("rows") == F.col("keys")) & (F.col("without_key") == 0) & (F.col("unknown_states") == 0)
     return row.withColumn("valid", right & (F.col("rows") == expected) if expected is not None else right)
+
+
+def by_platform(df: DataFrame, key: str, platform: str, url: str, accepted: Column, retrieved: Column, as_of: Column, fresh_days: int = 45) -> DataFrame:
+    """(key, platform, items, distinct_urls, accepted, fresh): the footprint of each key on each platform."""
+    age = F.unix_timestamp(as_of) - F.unix_timestamp(retrieved)
+    fresh = F.coalesce((age >= 0) & (age <= fresh_days * 86_400), F.lit(False))
+    return df.groupBy(key, F.col(platform).alias("platform")).agg(F.count("*").alias("items"), F.countDistinct(url).alias("distinct_urls"), F.count_if(F.coalesce(accepted, F.lit(False))).alias("accepted"), F.count_if(fresh).alias("fresh"))
+
+
+def label_counts(df: DataFrame, key: str, label: str, names: dict[str, str], engagement: Column) -> DataFrame:
+    """(key, <name>..., engagement): how often each label stands, and the sum of what was counted; null counts as 0."""
+    return df.groupBy(key).agg(*(F.count_if(F.col(label) == value).alias(name) for name, value in names.items()), F.sum(F.coalesce(engagement, F.lit(0))).alias("engagement"))
+
+
+def coverage(frames: dict[str, DataFrame], key: str) -> DataFrame:
+    """(what, companies, items): of each frame the distinct keys and the rows."""
+    parts = [df.agg(F.lit(name).alias("what"), F.countDistinct(key).alias("companies"), F.count("*").alias("items")) for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -102,3 +102,14 @@ def carry_forward(current: DataFrame, previous: DataFrame, key: list[str], statu
     old = previous.where(F.col(status) == "available").select(*key, F.struct(*rest).alias("_old")).dropDuplicates(key)
     joined = current.join(old, key, "left").withColumn("carried_forward", (F.col(status) == "failed") & F.col("_old").isNotNull())
     return joined.select(*key, *(F.when(F.col("carried_forward"), F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) for c in rest), "carried_forward")
+
+
+def observation_rules(platforms: tuple[str, ...], signals: tuple[str, ...]) -> dict[str, Column]:
+    """What an observation has to keep to be counted, for ``violations``."""
+    return {
+        "id": F.trim("id") != "",
+        "organisation_number": F.col("organisation_number").rlike("^[0-9]{9}$"),
+        "platform": F.col("platform").isin(*platforms),
+        "signal_type": F.col("signal_type").isin(*signals),
+        **{k: v for k, v in provenance_rules().items() if k != "retrieved_at"},
+    }

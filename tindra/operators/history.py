@@ -69,3 +69,22 @@ def trend(df: DataFrame, key: str, period: str, amount: str, keep: int = 3) -> D
     pairs = known.withColumn("before", F.lead(amount).over(w2)).withColumn("_k", F.row_number().over(w2)).where("_k = 1")
     change = F.when(F.col("before") != 0, F.bround((F.col(amount) - F.col("before")) / F.abs("before") * 100, 1))
     return pairs.select(key, period, amount, "before", change.alias("change_pct"))
+
+
+def added(previous: DataFrame, current: DataFrame, owners: DataFrame, owner: list[str], item: list[str], keep: list[str] | None = None) -> DataFrame:
+    """(owner..., item..., keep...): the items of the current frame that the previous lacks, of owners that were there before.
+
+    One union and one aggregation by owner and item tell them; the owners are met by a join.
+    """
+    columns = [*owner, *item, *(keep or [])]
+    sides = previous.select(*columns, F.lit(1).alias("_s")).unionByName(current.select(*columns, F.lit(2).alias("_s")))
+    first = sides.groupBy(*owner, *item).agg(F.min("_s").alias("_s"), *(F.max(c).alias(c) for c in keep or []))
+    return first.where("_s = 2").drop("_s").join(owners.select(*owner).distinct(), owner, "left_semi").select(*columns)
+
+
+def keyed(snapshots: DataFrame, key: str, delivery: str, claims: str, ignored: tuple[str, ...] = ("retrieved_at", "captured_at", "query_time")) -> DataFrame:
+    """Adds ``profile_hash`` of the claims, one a line in the order of their names without nulls and times of collection, and ``snapshot_key`` made of key, delivery and hash."""
+    known = F.filter(F.map_entries(claims), lambda e: e["value"].isNotNull() & ~e["key"].isin(*ignored))
+    lines = F.transform(F.array_sort(F.coalesce(known, F.array().cast("array<struct<key:string,value:string>>"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    hashed = snapshots.withColumn("profile_hash", F.sha2(F.array_join(lines, "\n"), 256))
+    return hashed.withColumn("snapshot_key", short_id("snap-", F.col(key), F.col(delivery), F.col("profile_hash")))

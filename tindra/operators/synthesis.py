@@ -74,3 +74,15 @@ def signals(frames: dict[str, tuple[DataFrame, Column]], key: str = "organisatio
 def outlook(trends: DataFrame, change: str = "change_pct", threshold: float = 10.0) -> Column:
     """growing, contracting or steady by the change of a trend; null where there is none."""
     return F.when(F.col(change) >= threshold, "growing").when(F.col(change) <= -threshold, "contracting").when(F.col(change).isNotNull(), "steady")
+
+
+def inferences(trends: DataFrame, postings: DataFrame, news: DataFrame, key: str = "organisation_number", threshold: float = 10.0) -> DataFrame:
+    """(key, statement, basis): what follows from the signals of a company, kept apart from them; ``postings`` and ``news`` have counts ``n``."""
+    said = lambda df, statement, basis: df.select(key, F.lit(statement).alias("statement"), F.lit(basis).alias("basis"))
+    parts = [
+        said(trends.where(F.col("change_pct") >= threshold), "growing", "revenue_trend"),
+        said(trends.where(F.col("change_pct") <= -threshold), "contracting", "revenue_trend"),
+        said(postings.where("n > 0"), "recruiting", "job_postings"),
+        said(news.where("n >= 2"), "publishing", "recent_news"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -342,17 +342,17 @@ def _sides(spark, folder, *columns):
     return tuple(tagged.where(F.col("_now") == now).select("delivery_no", "organisation_number", *columns) for now in (False, True))
 
 
-_PAIRS = "w AS (SELECT delivery_no AS d, lag(delivery_no) OVER (ORDER BY delivery_no) AS before FROM (SELECT DISTINCT delivery_no FROM snapshots WHERE delivery_no IS NOT NULL))"
+_PAIRS_OF_DELIVERIES = "w AS (SELECT delivery_no AS d, lag(delivery_no) OVER (ORDER BY delivery_no) AS before FROM (SELECT DISTINCT delivery_no FROM snapshots WHERE delivery_no IS NOT NULL))"
 
 
-@query(f"""WITH {_PAIRS}, a AS (SELECT d AS delivery_no, organisation_number FROM snapshots JOIN w ON delivery_no = before), b AS (SELECT delivery_no, organisation_number FROM snapshots JOIN w ON delivery_no = d WHERE before IS NOT NULL)
+@query(f"""WITH {_PAIRS_OF_DELIVERIES}, a AS (SELECT d AS delivery_no, organisation_number FROM snapshots JOIN w ON delivery_no = before), b AS (SELECT delivery_no, organisation_number FROM snapshots JOIN w ON delivery_no = d WHERE before IS NOT NULL)
 SELECT *, 'previous' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'current' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def unmatched_companies(spark, folder):
     """Over every pair of consecutive deliveries."""
     return history.unmatched_keys(*_sides(spark, folder), "delivery_no", "organisation_number")
 
 
-@query(f"""WITH {_PAIRS}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delivery_no, organisation_number ORDER BY captured_at DESC NULLS LAST, snapshot_id DESC NULLS LAST) AS rn FROM snapshots) WHERE rn = 1),
+@query(f"""WITH {_PAIRS_OF_DELIVERIES}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY delivery_no, organisation_number ORDER BY captured_at DESC NULLS LAST, snapshot_id DESC NULLS LAST) AS rn FROM snapshots) WHERE rn = 1),
 j AS (SELECT DISTINCT delivery_no, organisation_number, j.job_id AS job_id, j.source_url AS source_url FROM (SELECT delivery_no, organisation_number, unnest(jobs) AS j FROM s) WHERE j.job_id IS NOT NULL),
 gone AS (SELECT w.d AS delivery_no, j.organisation_number, j.job_id, j.source_url FROM j JOIN w ON j.delivery_no = w.before WHERE NOT EXISTS (SELECT 1 FROM j AS k WHERE k.delivery_no = w.d AND k.organisation_number = j.organisation_number AND k.job_id = j.job_id)),
 u AS (SELECT delivery_no, organisation_number, unnest(sources).url AS url FROM s)

@@ -9,9 +9,9 @@ from tindra.operators import candidates, extract, identity, official, ranking
 from tindra.queries.core import _CANONICAL, _EVIDENCE, _FOLD, _HOST, _PATH, _REGISTRY, _evidence, _registry, query
 from tindra.tables import load
 
-_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _SEGMENTS = "list_filter(string_split(lower(" + _PATH + "), '/'), lambda s: s <> '')"
-_TOKENS = "list_filter(regexp_extract_all(" + _FOLD + ", '([a-z0-9]+)', 1), lambda x: length(x) > 1 AND NOT list_contains(" + _list(text.LEGAL_WORDS) + ", x))"
+_TOKENS = "list_filter(regexp_extract_all(" + _FOLD + ", '([a-z0-9]+)', 1), lambda x: length(x) > 1 AND NOT list_contains(" + _LIST(text.LEGAL_WORDS) + ", x))"
 _COMPACT = "regexp_replace(" + _FOLD + ", '[^a-z0-9]', '', 'g')"
 _ACT = "act AS (SELECT DISTINCT ON (activity_id) * FROM activities ORDER BY activity_id, ingested_at)"
 _JOB = "job AS (SELECT DISTINCT ON (job_id) * FROM jobs ORDER BY job_id, ingested_at)"
@@ -23,7 +23,7 @@ def _made_sql(y: str, m: str, d: str) -> str:
 
 def _day_sql(c: str) -> str:
     x = lambda p, k: f"regexp_extract({c}, '{p}', {k})"
-    month = "CASE " + " ".join(f"WHEN list_contains({_list(n)}, lower({x(days.NAMED, 2)})) THEN '{k}'" for k, n in days.MONTHS.items()) + " ELSE '' END"
+    month = "CASE " + " ".join(f"WHEN list_contains({_LIST(n)}, lower({x(days.NAMED, 2)})) THEN '{k}'" for k, n in days.MONTHS.items()) + " ELSE '' END"
     return f"coalesce(nullif({x(days.ISO, 1)}, ''), {_made_sql(x(days.NUMBERS, 3), x(days.NUMBERS, 2), x(days.NUMBERS, 1))}, {_made_sql(x(days.NAMED, 3), month, x(days.NAMED, 1))})"
 
 
@@ -35,7 +35,7 @@ def _first(spark, folder, table, key, *columns):
 
 # Names, addresses, days
 
-_ROOT = "CASE WHEN length(root0) < 3 OR list_contains(" + _list(names.HOSTING) + ", root0) THEN '' ELSE root0 END"
+_ROOT = "CASE WHEN length(root0) < 3 OR list_contains(" + _LIST(names.HOSTING) + ", root0) THEN '' ELSE root0 END"
 _NAMED = f"""{_REGISTRY}, r0 AS (SELECT organisation_number, coalesce(name, '') AS name, coalesce(municipality, '') AS municipality, string_split({_HOST.format("website")}, '.') AS labels, {_HOST.format("website")} AS host FROM reg),
 r1 AS (SELECT *, CASE WHEN regexp_matches(host, '(^|\\.)({"|".join(s.replace(".", "[.]") for s in names.LONG_SUFFIXES)})$') THEN 3 ELSE 2 END AS size FROM r0),
 r2 AS (SELECT *, CASE WHEN len(labels) >= size THEN array_to_string(labels[len(labels) - size + 1:], '.') END AS domain FROM r1),
@@ -46,11 +46,11 @@ r6 AS (SELECT *, CASE WHEN root <> '' AND array_to_string(s1, '') = root THEN s1
   CASE WHEN root <> '' AND array_to_string(s1, '') = root THEN list_filter(words, lambda w: NOT contains(root, w)) WHEN root <> '' AND array_to_string(s2, '') = root THEN list_filter(words2, lambda w: NOT contains(root, w)) ELSE words END AS rest FROM r5)"""
 
 
-@query(f"""WITH {_NAMED}, f AS (SELECT *, list_filter(regexp_extract_all({_FOLD.format("replace(name, '&', ' ')")}, '([a-z0-9]+)', 1), lambda x: NOT list_contains({_list(names.LEGAL_ENDINGS)}, x)) AS k FROM r6),
+@query(f"""WITH {_NAMED}, f AS (SELECT *, list_filter(regexp_extract_all({_FOLD.format("replace(name, '&', ' ')")}, '([a-z0-9]+)', 1), lambda x: NOT list_contains({_LIST(names.LEGAL_ENDINGS)}, x)) AS k FROM r6),
 g AS (SELECT *, CASE WHEN len(k) >= 2 AND k[-2:] = ['a', 's'] THEN k[:-3] ELSE k END AS k2 FROM f)
 SELECT organisation_number, array_to_string(CASE WHEN len(k2) >= 2 AND k2[1:2] = ['a', 's'] THEN k2[3:] ELSE k2 END, ' ') AS full_words, domain, root,
   array_to_string(spelled, ' ') AS spelled, array_to_string(list_filter(words, lambda w: NOT contains(root, w)), ' ') AS specific,
-  len(spelled) > 0 AND len(list_filter(rest, lambda w: list_contains({_list(names.BRANCHES)}, w) OR list_contains({_TOKENS.format("municipality")}, w))) > 0 AS is_branch FROM g""")
+  len(spelled) > 0 AND len(list_filter(rest, lambda w: list_contains({_LIST(names.BRANCHES)}, w) OR list_contains({_TOKENS.format("municipality")}, w))) > 0 AS is_branch FROM g""")
 def name_parts(spark, folder):
     rows = _registry(spark, folder, "name", "municipality", "website").withColumn("root", names.site_root(F.col("website")))
     said = names.spelled_by_site(F.coalesce("name", F.lit("")), F.col("root"))
@@ -62,13 +62,13 @@ def name_parts(spark, folder):
 
 
 _AT = "coalesce(list_position(list_transform(segs, lambda s: regexp_matches(s, '{0}')), true), 0)"
-_NOT_TRANSLATED = f"NOT (coalesce(regexp_matches(segs[1], '^[a-z]{{2}}(-[a-z]{{2}})?$'), false) AND NOT list_contains({_list(urls.OWN_LANGUAGES)}, segs[1]))"
+_NOT_TRANSLATED = f"NOT (coalesce(regexp_matches(segs[1], '^[a-z]{{2}}(-[a-z]{{2}})?$'), false) AND NOT list_contains({_LIST(urls.OWN_LANGUAGES)}, segs[1]))"
 _IN_PATH = "coalesce(" + ", ".join(_made_sql(*(f"regexp_extract(p, '{a}', {k})" for k in (1, 2, 3))) for a in days.ADDRESSES) + ")"
 _ADDRESSES = f"""a0 AS (SELECT id, url, {_PATH.format("url")} AS p, {_SEGMENTS.format("url")} AS segs FROM items),
 a1 AS (SELECT *, {_AT.format(urls.NEWS_PART)} AS news_at, {_AT.format(urls.CAREER_PART)} AS job_at, {_IN_PATH} AS day FROM a0),
-a2 AS (SELECT *, coalesce(len(segs) >= 2 AND {_NOT_TRANSLATED} AND news_at > 0 AND news_at < len(segs) AND NOT (list_contains({_list(urls.NEWS_INDEX)}, segs[-1]) OR regexp_matches(segs[-1], '^[0-9]+$') OR list_has_any(segs, {_list(urls.NO_ARTICLE)})) AND length(segs[-1]) >= 8 AND (regexp_matches(segs[-1], '[-_]') OR day IS NOT NULL), false) AS is_article,
-  coalesce(len(segs) >= 2 AND {_NOT_TRANSLATED} AND job_at > 0 AND job_at < len(segs) AND NOT (list_contains({_list(urls.CAREER_INDEX)}, segs[-1]) OR regexp_matches(segs[-1], '^[0-9]+$') OR list_has_any(segs, {_list(urls.NO_POSTING)})) AND length(segs[-1]) >= 4, false) AS is_posting,
-  coalesce(len(segs) BETWEEN 1 AND 2 AND list_contains({_list(w for w in urls.CAREER_INDEX if w not in ("en", "no", "nb"))}, segs[-1]), false) AS is_careers_index,
+a2 AS (SELECT *, coalesce(len(segs) >= 2 AND {_NOT_TRANSLATED} AND news_at > 0 AND news_at < len(segs) AND NOT (list_contains({_LIST(urls.NEWS_INDEX)}, segs[-1]) OR regexp_matches(segs[-1], '^[0-9]+$') OR list_has_any(segs, {_LIST(urls.NO_ARTICLE)})) AND length(segs[-1]) >= 8 AND (regexp_matches(segs[-1], '[-_]') OR day IS NOT NULL), false) AS is_article,
+  coalesce(len(segs) >= 2 AND {_NOT_TRANSLATED} AND job_at > 0 AND job_at < len(segs) AND NOT (list_contains({_LIST(urls.CAREER_INDEX)}, segs[-1]) OR regexp_matches(segs[-1], '^[0-9]+$') OR list_has_any(segs, {_LIST(urls.NO_POSTING)})) AND length(segs[-1]) >= 4, false) AS is_posting,
+  coalesce(len(segs) BETWEEN 1 AND 2 AND list_contains({_LIST(w for w in urls.CAREER_INDEX if w not in ("en", "no", "nb"))}, segs[-1]), false) AS is_careers_index,
   array_to_string(segs[1:CASE WHEN news_at > 0 THEN news_at ELSE len(segs) END], '/') AS section FROM a1)"""
 
 
@@ -87,7 +87,7 @@ _PORTAL = {"sosial.example": "x"}
 
 
 @query(f"""WITH c AS (SELECT candidate_id, url, {_HOST.format("url")} AS host, list_filter(string_split({_PATH.format("url")}, '/'), lambda s: s <> '') AS parts FROM (SELECT DISTINCT candidate_id, url FROM candidates)),
-k AS (SELECT * FROM c WHERE (host = 'sosial.example' OR host LIKE '%.sosial.example') AND len(parts) = 1 AND NOT list_contains({_list(urls.NO_PROFILE["x"])}, lower(parts[1])))
+k AS (SELECT * FROM c WHERE (host = 'sosial.example' OR host LIKE '%.sosial.example') AND len(parts) = 1 AND NOT list_contains({_LIST(urls.NO_PROFILE["x"])}, lower(parts[1])))
 SELECT candidate_id, 'x' AS platform, 'https://sosial.example/' || parts[1] AS profile, CASE WHEN regexp_matches(lower(parts[1]), '^[0-9]+$|^uc[a-z0-9_-]{{20,}}$') THEN '' ELSE {_COMPACT.format("regexp_replace(lower(parts[1]), '^@+', '')")} END AS account FROM k""")
 def social_accounts(spark, folder):
     rows = load(spark, folder, "candidates").select("candidate_id", "url").distinct().withColumn("s", urls.social_profile(F.col("url"), _PORTAL)).where("s is not null")
@@ -162,7 +162,7 @@ def page_links(spark, folder):
     return extract.page_links(_page_rows(spark, folder), "fetch_id", "url", "body")
 
 
-@query(f"WITH {_LINKS} SELECT fetch_id, CAST(place AS INT) AS place, url, text AS title FROM lk WHERE {_HOST.format('url')} = {_HOST.format('base')} AND length(trim(text)) >= 15 AND NOT list_contains({_list(extract.LINK_TEXTS)}, lower(trim(text)))")
+@query(f"WITH {_LINKS} SELECT fetch_id, CAST(place AS INT) AS place, url, text AS title FROM lk WHERE {_HOST.format('url')} = {_HOST.format('base')} AND length(trim(text)) >= 15 AND NOT list_contains({_LIST(extract.LINK_TEXTS)}, lower(trim(text)))")
 def article_links(spark, folder):
     return extract.article_links(_links(spark, folder), "fetch_id", "url", "text", "base").select("fetch_id", "place", "url", F.col("text").alias("title"))
 
@@ -339,7 +339,7 @@ _MAIL = "regexp_extract(email, '@([^@\\s>]+)$', 1)"
 
 @query(f"""WITH {_REGISTRY}, n AS (SELECT organisation_number, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS clean, coalesce(nullif(trim(municipality), ''), 'Norge') AS town, regexp_replace(lower({_MAIL}), '^www\\.', '') AS mail FROM reg),
 b AS (SELECT *, trim(regexp_replace(clean, ' (AS|ASA|ENK|DA|ANS|NUF|SA|BRL|ESEK)$', '')) AS bare FROM n WHERE clean <> ''),
-x AS (SELECT organisation_number, unnest(['"' || clean || '"', '"' || clean || '" ' || regexp_replace(organisation_number, '[^0-9]', '', 'g'), '"' || bare || '" ' || town, '"' || clean || '" ' || town, CASE WHEN contains(mail, '.') AND NOT list_contains({_list(candidates.SHARED_MAIL)}, mail) THEN '"' || bare || '" ' || mail END]) AS phrase, unnest([1, 2, 3, 4, 5]) AS o FROM b),
+x AS (SELECT organisation_number, unnest(['"' || clean || '"', '"' || clean || '" ' || regexp_replace(organisation_number, '[^0-9]', '', 'g'), '"' || bare || '" ' || town, '"' || clean || '" ' || town, CASE WHEN contains(mail, '.') AND NOT list_contains({_LIST(candidates.SHARED_MAIL)}, mail) THEN '"' || bare || '" ' || mail END]) AS phrase, unnest([1, 2, 3, 4, 5]) AS o FROM b),
 f AS (SELECT organisation_number, phrase, min(o) AS o FROM x WHERE phrase IS NOT NULL GROUP BY 1, 2)
 SELECT organisation_number, CAST(row_number() OVER (PARTITION BY organisation_number ORDER BY o) AS INT) AS place, phrase FROM f""")
 def search_phrases(spark, folder):
@@ -352,7 +352,7 @@ def company_candidates(spark, folder):
     return candidates.company_candidates(_registry(spark, folder, "name", "municipality", "email", "website"), "organisation_number", "name", "municipality", "email", "website")
 
 
-@query(f"""WITH {_REGISTRY}, {_UNITS}, own AS (SELECT organisation_number AS k, 0 AS n, 0 AS o, CASE WHEN contains(m, '.') AND NOT list_contains({_list(candidates.SHARED_MAIL)}, m) THEN 'https://' || regexp_replace(m, '^www\\.', '') END AS url, 'registered mail' AS reason FROM (SELECT organisation_number, lower({_MAIL}) AS m FROM reg)),
+@query(f"""WITH {_REGISTRY}, {_UNITS}, own AS (SELECT organisation_number AS k, 0 AS n, 0 AS o, CASE WHEN contains(m, '.') AND NOT list_contains({_LIST(candidates.SHARED_MAIL)}, m) THEN 'https://' || regexp_replace(m, '^www\\.', '') END AS url, 'registered mail' AS reason FROM (SELECT organisation_number, lower({_MAIL}) AS m FROM reg)),
 u0 AS (SELECT company_orgnr AS k, place AS n, h, {_TOKENS.format("location")} AS w FROM un WHERE place <= 5),
 u1 AS (SELECT k, n, unnest([1, 2, 3, 4]) AS o, unnest(['https://' || h, CASE WHEN contains(h, '.') THEN 'https://' || h END, CASE WHEN len(w) >= 2 THEN 'https://' || w[1] || w[2] || '.no' END, CASE WHEN len(w) >= 2 THEN 'https://' || w[1] || '-' || w[2] || '.no' END]) AS url, unnest(['sub-unit''s site', 'sub-unit''s mail', 'sub-unit''s name', 'sub-unit''s name']) AS reason FROM u0),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, url ORDER BY n, o) AS rn FROM (SELECT * FROM own UNION ALL SELECT * FROM u1) WHERE url IS NOT NULL) WHERE rn = 1)
@@ -365,7 +365,7 @@ def relationship_candidates(spark, folder):
 _TIERS = ("tier0_brreg_seed", "tier1_deterministic_domain", "tier2_email_domain")
 
 
-@query(f"""WITH c AS (SELECT DISTINCT candidate_id, discovery_tier, {_HOST.format("url")} AS host FROM candidates), r AS (SELECT *, coalesce(nullif(coalesce(list_position({_list(_TIERS)}, discovery_tier), 0), 0), 4) AS p FROM c),
+@query(f"""WITH c AS (SELECT DISTINCT candidate_id, discovery_tier, {_HOST.format("url")} AS host FROM candidates), r AS (SELECT *, coalesce(nullif(coalesce(list_position({_LIST(_TIERS)}, discovery_tier), 0), 0), 4) AS p FROM c),
 b AS (SELECT *, first_value(p) OVER w AS bp, first_value(coalesce(discovery_tier, '')) OVER w AS bn FROM r WINDOW w AS (PARTITION BY host ORDER BY p, coalesce(discovery_tier, '')))
 SELECT candidate_id, discovery_tier, host FROM b WHERE p = bp AND coalesce(discovery_tier, '') = bn""")
 def first_provider(spark, folder):
@@ -389,10 +389,13 @@ def _pairs(spark, folder):
 _HOLDS = "(len({0}) > 0 AND len(list_filter({0}, lambda w: NOT list_contains({1}, w))) = 0)"
 
 
-@query(f"""WITH {_PAIRS}, t AS (SELECT *, {_HOST.format("url")} AS host, {_TOKENS.format("name")} AS w, {_TOKENS.format("coalesce(title, '')")} AS tw, {_TOKENS.format("coalesce(place, '')")} AS sw, {_TOKENS.format("coalesce(municipality, '')")} AS mw, {_TOKENS.format("coalesce(" + _HOST.format("url") + ", '')")} AS hw FROM pairs),
+SQL_OF_RESULTS = (f"""WITH {_PAIRS}, t AS (SELECT *, {_HOST.format("url")} AS host, {_TOKENS.format("name")} AS w, {_TOKENS.format("coalesce(title, '')")} AS tw, {_TOKENS.format("coalesce(place, '')")} AS sw, {_TOKENS.format("coalesce(municipality, '')")} AS mw, {_TOKENS.format("coalesce(" + _HOST.format("url") + ", '')")} AS hw FROM pairs),
 s AS (SELECT *, contains(regexp_replace(concat_ws(' ', title, place), '[^0-9]', '', 'g'), regexp_replace(organisation_number, '[^0-9]', '', 'g')) AS a, {_HOLDS.format("w", "tw")} AS b, {_HOLDS.format("w", "list_concat(list_concat(tw, sw), hw)")} AS c, len(w) > 0 AND len(list_filter(w, lambda x: NOT contains(array_to_string(hw, ''), x))) = 0 AS d, {_HOLDS.format("mw", "sw")} AS e FROM t),
 p AS (SELECT *, CASE WHEN host IS NULL THEN 0.0 ELSE round_even(least(1.0, CASE WHEN a THEN 0.75 ELSE 0.0 END + CASE WHEN b THEN 0.45 WHEN c THEN 0.25 ELSE 0.0 END + CASE WHEN d THEN 0.3 ELSE 0.0 END + CASE WHEN e THEN 0.1 ELSE 0.0 END), 2) END AS score FROM s)
 SELECT candidate_id, organisation_number, CAST(score AS DOUBLE) AS score, CASE WHEN host IS NULL THEN 'rejected' WHEN score >= 0.75 AND d AND (a OR b OR len(w) >= 2) THEN 'accepted' WHEN score >= 0.6 THEN 'review' ELSE 'rejected' END AS status FROM p""")
+
+
+@query(SQL_OF_RESULTS)
 def result_scores(spark, folder):
     none = F.lit(None).cast("string")
     scored = candidates.result_score(F.col("name"), F.col("organisation_number"), F.col("municipality"), none, F.col("url"), F.col("title"), F.col("place"))
@@ -418,11 +421,11 @@ _BARE = "regexp_replace(acc, '^@+', '')"
 _ACCOUNT = f"CASE WHEN acc IS NULL OR regexp_matches(acc, '^[0-9]+$|^uc[a-z0-9_-]{{20,}}$') THEN '' ELSE {_COMPACT.format(_BARE)} END"
 _SOCIAL = f"""{_PAIRS}, form AS (SELECT organisation_number, min(legal_form) AS legal_form FROM fresh_companies GROUP BY 1),
 s0 AS (SELECT pairs.*, form.legal_form, {_PATH.format("url")} AS path, {_SEGMENTS.format("url")} AS segs, {_TOKENS.format("name")} AS w FROM pairs JOIN form USING (organisation_number)),
-s1 AS (SELECT *, CASE WHEN list_contains({_list(names.ACCOUNT_PREFIXES)}, segs[1]) THEN segs[2] ELSE segs[1] END AS acc, {_COMPACT.format("coalesce(path, '')")} AS flat, list_filter(regexp_extract_all({_FOLD.format("coalesce(path, '')")}, '([a-z0-9]+)', 1), lambda x: length(x) > 1) AS parts, regexp_replace(coalesce(w[1], ''), '[^a-z0-9]', '', 'g') AS root FROM s0),
+s1 AS (SELECT *, CASE WHEN list_contains({_LIST(names.ACCOUNT_PREFIXES)}, segs[1]) THEN segs[2] ELSE segs[1] END AS acc, {_COMPACT.format("coalesce(path, '')")} AS flat, list_filter(regexp_extract_all({_FOLD.format("coalesce(path, '')")}, '([a-z0-9]+)', 1), lambda x: length(x) > 1) AS parts, regexp_replace(coalesce(w[1], ''), '[^a-z0-9]', '', 'g') AS root FROM s0),
 s2 AS (SELECT *, {_ACCOUNT} AS handle, list_filter(w, lambda x: contains(flat, x)) AS said FROM s1),
-s3 AS (SELECT *, CASE WHEN list_contains({_list(names.PLATFORM_ACCOUNTS)}, handle) THEN 0.1 WHEN len(list_filter(parts[2:], lambda x: list_contains(['as', 'asa', 'da', 'ans', 'sa', 'nuf', 'ab', 'enk', 'ks', 'iks'], x) AND x <> lower(coalesce(legal_form, '')))) > 0 THEN 0.3
-  WHEN len(said) > 0 AND len(list_filter(said, lambda x: NOT list_contains({_list(identity.GENERIC_WORDS)}, x))) = 0 THEN 0.3 WHEN len(w) > 0 AND contains(flat, array_to_string(w, '')) THEN 0.98 WHEN len(w) = 1 AND len(said) = 1 THEN 0.95 WHEN len(said) >= 2 AND len(said) >= 0.75 * len(w) THEN 0.9
-  WHEN root <> '' AND handle <> '' AND NOT list_contains({_list(names.PLATFORM_ACCOUNTS)}, handle) AND ((starts_with(handle, root) AND list_contains({_list(names.AFTER_NAME)}, handle[length(root) + 1:])) OR (length(root) >= 6 AND contains(handle, root) AND length(handle) - length(root) <= 12)) THEN 0.92 ELSE 0.3 END AS score FROM s2)"""
+s3 AS (SELECT *, CASE WHEN list_contains({_LIST(names.PLATFORM_ACCOUNTS)}, handle) THEN 0.1 WHEN len(list_filter(parts[2:], lambda x: list_contains(['as', 'asa', 'da', 'ans', 'sa', 'nuf', 'ab', 'enk', 'ks', 'iks'], x) AND x <> lower(coalesce(legal_form, '')))) > 0 THEN 0.3
+  WHEN len(said) > 0 AND len(list_filter(said, lambda x: NOT list_contains({_LIST(identity.GENERIC_WORDS)}, x))) = 0 THEN 0.3 WHEN len(w) > 0 AND contains(flat, array_to_string(w, '')) THEN 0.98 WHEN len(w) = 1 AND len(said) = 1 THEN 0.95 WHEN len(said) >= 2 AND len(said) >= 0.75 * len(w) THEN 0.9
+  WHEN root <> '' AND handle <> '' AND NOT list_contains({_LIST(names.PLATFORM_ACCOUNTS)}, handle) AND ((starts_with(handle, root) AND list_contains({_LIST(names.AFTER_NAME)}, handle[length(root) + 1:])) OR (length(root) >= 6 AND contains(handle, root) AND length(handle) - length(root) <= 12)) THEN 0.92 ELSE 0.3 END AS score FROM s2)"""
 
 
 @query(f"WITH {_SOCIAL} SELECT candidate_id, organisation_number, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.9 THEN 'exact' WHEN score >= 0.8 THEN 'review' ELSE 'uncertain' END AS status FROM s3")
