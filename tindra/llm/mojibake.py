@@ -25,6 +25,7 @@ case that is not restorable (the character is gone); other runs are still restor
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -96,6 +97,8 @@ class PairModel:
     total: float = 1.0
     #: Frequencies of further pairs, set for one text at a time.
     more: dict[int, float] = field(default_factory=dict)
+    #: Log probabilities of pairs; a cache of bounded size.
+    memo: dict[int, float] = field(default_factory=dict)
     #: Runs between their neighbours that no mapping improves; a cache of bounded size.
     dull: set[tuple[str, str, str]] = field(default_factory=set)
 
@@ -123,11 +126,24 @@ class PairModel:
 
     def log_probability(self, text: str) -> float:
         """Of a text's characters after its first, each given the one before."""
-        k = 1e-6
-        s = symbols(text)
-        f = self.frequencies(s[:-1] << 21 | s[1:])
-        fb = np.maximum(self.single[s[1:]], RAREST / 10)
-        return float(np.log((f + k * fb) / (self.single[s[:-1]] + k)).sum())
+        memo, total, a = self.memo, 0.0, -1
+        if len(memo) > _REMEMBERED:
+            memo.clear()
+        for c in text:
+            b = ord(c)
+            if b >= _CLASSES_FROM:
+                b = _LOST if b == 0xFFFD else _CLASSES_FROM + (b >> 8)
+            if a >= 0:
+                if (step := memo.get(a << 21 | b)) is None:
+                    step = memo[a << 21 | b] = self._step(a, b)
+                total += step
+            a = b
+        return total
+
+    def _step(self, a: int, b: int) -> float:
+        f, k = float(self.frequencies(np.array([a << 21 | b]))[0]), 1e-6
+        fb = max(float(self.single[b]), RAREST / 10)
+        return math.log((f + k * fb) / (float(self.single[a]) + k))
 
     def missing(self, text: str) -> list[int]:
         """The pairs of a text that the model does not hold."""
@@ -420,10 +436,14 @@ def find_garbled(df: DataFrame, key: str, text: str, model: PairModel, threshold
 
         def judge(value: str, more) -> tuple[str, list[str], bool] | None:
             own.more = {x["pair"]: x["n"] / total for x in more} if more is not None else {}
+            if own.more:
+                own.memo.clear()
             runs = runs_of(value, own.association(symbols(f"\n{value}\n")), threshold)
             lost = any("\ufffd" in value[a:b] for a, b in runs)
             restored, undone = restore(value, own, threshold, margin)
-            own.more = {}
+            if own.more:
+                own.more = {}
+                own.memo.clear()
             return (restored, undone, not lost) if undone or lost else None
 
         for frame in frames:
