@@ -26,6 +26,11 @@ def _element(block: Column, name: str) -> Column:
     return F.when(found != "", _text(found))
 
 
+def title_of(html: Column) -> Column:
+    """The text of a page's title element."""
+    return _element(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), "title")
+
+
 def html_facts(df: DataFrame, key: str, html: str) -> DataFrame:
     """(key, title, headline, links): what a page says of itself; scripts and styles do not count."""
     body = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1>", " ")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tindra.functions.names import is_branch, site_root
 from tindra.functions.text import compact, digits, tokens
 from tindra.functions.urls import host
 
@@ -17,30 +18,46 @@ ERROR_WORDS = r"(?i)\b(404|not found|siden finnes ikke|page not found|forbidden|
 PARKED_WORDS = r"(?i)(domain is parked|domenet er til salgs|domain is for sale|kommer snart|under oppussing|index of /)"
 
 
-def with_features(df: DataFrame, name: str, number: str, email: str, place: str, url: str, title: str, text: str) -> DataFrame:
+def with_features(df: DataFrame, name: str, number: str, email: str, place: str, url: str, title: str, text: str, website: str | None = None, phone: str | None = None, street: str | None = None, code: str | None = None) -> DataFrame:
     """Adds the features of (company, page) rows; nulls count as not said.
 
     ``text`` may be markup.  Words of the name are looked for in all of it but scripts
-    and styles (embedded JSON-LD counts: it names the company), numbers and the place
-    in all of it.
+    and styles (embedded JSON-LD counts: it names the company), numbers, the street and
+    the place in all of it.  ``website``, ``phone``, ``street`` and post ``code`` are what is registered.
     """
+    none = F.lit(None).cast("string")
+    given = {k: F.col(c) if c else none for k, c in (("website", website), ("phone", phone), ("street", street), ("code", code))}
     wanted = tokens(F.col(name))
     shown = F.regexp_replace(F.col(text), r"(?is)<(script|style)\b(?![^>]*ld\+json).*?</\1>", " ")
     said = tokens(F.concat_ws(" ", F.col(title), shown))
     mail_host = F.lower(F.regexp_extract(F.col(email), r"@([^@\s>]+)$", 1))
-    numbers = F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?<=\d)[ .](?=\d{3})", ""), F.lit(r"(?<!\d)(\d{9})(?!\d)"), F.lit(1))
+    plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?<=\d)[ .](?=\d{3})", "")
+    numbers = F.regexp_extract_all(plain, F.lit(r"(?<!\d)(\d{9})(?!\d)"), F.lit(1))
+    flat = compact(F.concat_ws(" ", F.col(title), F.col(text)))
+    head = compact(F.regexp_replace(F.coalesce(F.col(title), F.lit("")), r"\s[|»–-]\s.*$", ""))
+    root = site_root(F.col(url))
+    on = lambda own: F.coalesce((own != "") & ((host(F.col(url)) == own) | host(F.col(url)).endswith(F.concat(F.lit("."), own))), F.lit(False))
+    called = digits(given["phone"])
+    no = F.lit(False)
     return df.withColumns(
         {
             "name_words": F.size(wanted),
             "shared_words": F.size(F.array_intersect(wanted, said)),
             "whole_name": (compact(F.array_join(wanted, "")) != "") & F.contains(compact(F.col(title)), compact(F.array_join(wanted, ""))),
-            "name_in_host": F.coalesce(F.contains(F.regexp_replace(host(F.col(url)), "[^a-z0-9]", ""), F.array_join(F.slice(wanted, 1, 2), "")) & (F.size(wanted) > 0), F.lit(False)),
-            "mail_matches": F.coalesce((mail_host != "") & ((host(F.col(url)) == mail_host) | host(F.col(url)).endswith(F.concat(F.lit("."), mail_host))), F.lit(False)),
-            "own_number": F.coalesce(F.array_contains(numbers, digits(F.col(number))), F.lit(False)),
-            "other_number": F.coalesce(F.size(F.array_except(numbers, F.array(digits(F.col(number))))) > 0, F.lit(False)),
-            "place_said": F.coalesce((compact(F.col(place)) != "") & F.contains(compact(F.concat_ws(" ", F.col(title), F.col(text))), compact(F.col(place))), F.lit(False)),
-            "is_error": F.coalesce(F.col(title).rlike(ERROR_WORDS), F.lit(False)),
-            "is_parked": F.coalesce(F.col(title).rlike(PARKED_WORDS), F.lit(False)),
+            "exact_title": (F.size(wanted) > 0) & ((head == F.array_join(wanted, "")) | (head == compact(F.col(name)))),
+            "name_in_host": F.coalesce(F.contains(F.regexp_replace(host(F.col(url)), "[^a-z0-9]", ""), F.array_join(F.slice(wanted, 1, 2), "")) & (F.size(wanted) > 0), no),
+            "mail_matches": on(mail_host),
+            "registered_site": on(host(given["website"])),
+            "brand_in_title": F.exists(tokens(F.col(title)), lambda w: (F.length(w) >= 4) & F.contains(root, w)),
+            "branch_of_site": F.coalesce(is_branch(F.coalesce(F.col(name), F.lit("")), root, F.col(place)), no),
+            "own_number": F.coalesce(F.array_contains(numbers, digits(F.col(number))), no),
+            "other_number": F.coalesce(F.size(F.array_except(numbers, F.array(digits(F.col(number))))) > 0, no),
+            "phone_said": F.coalesce((F.length(called) >= 8) & F.contains(digits(plain), F.right(called, F.lit(8))), no),
+            "street_said": F.coalesce((F.length(compact(given["street"])) >= 6) & F.contains(flat, compact(given["street"])), no),
+            "code_said": F.coalesce(given["code"].rlike("^[0-9]{4}$") & F.contains(F.col(text), given["code"]), no),
+            "place_said": F.coalesce((compact(F.col(place)) != "") & F.contains(flat, compact(F.col(place))), no),
+            "is_error": F.coalesce(F.col(title).rlike(ERROR_WORDS), no),
+            "is_parked": F.coalesce(F.col(title).rlike(PARKED_WORDS), no),
             "is_substantial": F.length(F.coalesce(F.col(text), F.lit(""))) >= 100,
         }
     )
@@ -50,12 +67,21 @@ def rules() -> list[tuple[str, Column, float]]:
     """(reason, condition, score) in order."""
     c = F.col
     ratio = c("shared_words") / F.greatest(c("name_words"), F.lit(1))
+    strong = c("street_said") | (c("code_said") & c("place_said"))
+    linked = c("registered_site") | c("mail_matches") | c("name_in_host")
     return [
         ("error page", c("is_error"), 0.1),
         ("parked page", c("is_parked"), 0.1),
         ("own number", c("own_number") & ~c("other_number"), 1.0),
         ("number of another company", c("other_number") & ~c("own_number"), 0.2),
+        ("registered site and mail host", c("registered_site") & c("mail_matches") & ~c("other_number"), 0.92),
+        ("host guessed from the name, page does not name it", ~c("registered_site") & ~c("mail_matches") & c("name_in_host") & (c("shared_words") == 0), 0.85),
+        ("name as title", c("exact_title") & linked & ((c("name_words") >= 2) | c("is_substantial")), 0.95),
+        ("name as title, nothing links it", c("exact_title"), 0.85),
+        ("name and address or telephone", ((ratio >= 0.75) & strong) | (c("phone_said") & (c("shared_words") >= 1)), 0.95),
         ("mail host and name", c("mail_matches") & (c("shared_words") >= 1), 0.95),
+        ("registered site and its brand", c("registered_site") & c("brand_in_title") & c("is_substantial"), 0.9),
+        ("branch of the registered site", c("registered_site") & c("branch_of_site") & c("is_substantial"), 0.9),
         ("whole name and place", c("whole_name") & c("place_said"), 0.95),
         ("whole name in title and host", c("whole_name") & c("name_in_host") & c("is_substantial"), 0.92),
         ("whole name only", c("whole_name"), 0.85),

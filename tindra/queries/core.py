@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tindra.functions import text, urls
 from tindra.functions.hashing import content_hash, sequence_hash, set_hash
-from tindra.operators import aggregates, candidates, evidence, extract, history, identity, lookup, ranking, sampling, snapshots, synthesis
+from tindra.operators import aggregates, candidates, evidence, extract, history, lookup, ranking, sampling, snapshots, synthesis
 from tindra.plans import screen
 from tindra.tables import load
 
@@ -424,19 +424,6 @@ def domain_candidates(spark, folder):
     return candidates.domain_candidates(_registry(spark, folder, "name", "municipality", "email"), "organisation_number", "name", "municipality", "email")
 
 
-# Identity
-
-
-@query()
-def identity_rules(spark, folder):
-    """Each fetched page against the company it was fetched for: features, then the first rule that holds."""
-    pages = load(spark, folder, "fetch_results").where("status = 200 and body is not null")
-    facts = extract.html_facts(pages, "fetch_id", "body").select("fetch_id", "title", "headline")
-    joined = pages.select("fetch_id", "organisation_number", "url", F.col("body").alias("text")).join(facts, "fetch_id").join(_registry(spark, folder, "name", "email", "municipality"), "organisation_number")
-    features = identity.with_features(joined, "name", "organisation_number", "email", "municipality", "url", "title", "text")
-    return identity.assess(features).select("fetch_id", "organisation_number", "score", "reason", "status")
-
-
 # Extraction
 
 

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tindra.functions import text, urls
-from tindra.operators import aggregates, evidence, history, ranking, sampling, synthesis
+from tindra.functions import names, text, urls
+from tindra.operators import aggregates, evidence, extract, history, identity, ranking, sampling, synthesis
 from tindra.queries.core import _BAND, _EVIDENCE, _HOST, _PAIRS_OF_DELIVERIES, _REGISTRY, AS_OF, _evidence, _registry, _sides, query
-from tindra.queries.more import _ACT, _JOB, _LIST, _TOKENS, _first, result_scores
+from tindra.queries.more import _ACT, _COMPACT, _JOB, _LIST, _TOKENS, _first, result_scores
 from tindra.queries.more import SQL_OF_RESULTS as _RESULTS
 from tindra.queries.overview import _OBSERVED, _TREND, _trends, company_observations
 from tindra.tables import load
@@ -161,3 +161,36 @@ def inferences(spark, folder):
 def _first_dated(spark, folder, table, key) -> DataFrame:
     rows = ranking.keep_first(load(spark, folder, table).select(key, "company_orgnr", "ingested_at"), [key], [F.col("ingested_at")])
     return rows.where("company_orgnr is not null").withColumnRenamed("company_orgnr", "organisation_number")
+
+
+# Identity
+
+_ELEMENT = r"CASE WHEN regexp_extract(b, '(?is)<title\b[^>]*>(.*?)</title>', 1) <> '' THEN trim(regexp_replace(replace(regexp_replace(regexp_extract(b, '(?is)<title\b[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) END"
+_ROOT0 = "regexp_replace(coalesce(CASE WHEN len(lab) >= sz THEN lab[len(lab) - sz + 1] END, ''), '[^a-z0-9]', '', 'g')"
+_ON = "coalesce({0} <> '' AND (host = {0} OR ends_with(host, '.' || {0})), false)"
+_IDENTITY = f"""{_REGISTRY}, i0 AS (SELECT DISTINCT fetch_id, organisation_number, url, body, regexp_replace(regexp_replace(body, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g') AS b FROM fetch_results WHERE status = 200 AND body IS NOT NULL),
+i1 AS (SELECT i0.*, {_ELEMENT} AS title, reg.name, reg.email, reg.municipality, reg.website, reg.phone, reg.business_address.adresse AS street, reg.business_address.postnummer AS code, {_HOST.format("url")} AS host FROM i0 JOIN reg USING (organisation_number)),
+i2 AS (SELECT *, {_TOKENS.format("coalesce(name, '')")} AS w, {_TOKENS.format("concat_ws(' ', title, b)")} AS said, {_TOKENS.format("coalesce(title, '')")} AS tw, coalesce(lower(regexp_extract(email, '@([^@\s>]+)$', 1)), '') AS mail, {_HOST.format("website")} AS own, string_split(host, '.') AS lab,
+  CASE WHEN regexp_matches(host, '(^|\.)({"|".join(x.replace(".", "[.]") for x in names.LONG_SUFFIXES)})$') THEN 3 ELSE 2 END AS sz, regexp_replace(regexp_replace(body, '([0-9])[ .]([0-9]{{3}})', '\1\2', 'g'), '([0-9])[ .]([0-9]{{3}})', '\1\2', 'g') AS plain, {_COMPACT.format("concat_ws(' ', title, body)")} AS flat, {_COMPACT.format("regexp_replace(coalesce(title, ''), '\s[|»–-]\s.*$', '')")} AS head,
+  regexp_replace(coalesce(organisation_number, ''), '[^0-9]', '', 'g') AS num, regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g') AS tel, {_COMPACT.format("coalesce(street, '')")} AS st, {_COMPACT.format("coalesce(municipality, '')")} AS pl FROM i1),
+i3 AS (SELECT *, CASE WHEN length({_ROOT0}) < 3 OR list_contains({_LIST(names.HOSTING)}, {_ROOT0}) THEN '' ELSE {_ROOT0} END AS root, list_filter(regexp_extract_all(plain, '[0-9]+'), lambda x: length(x) = 9) AS nums, array_to_string(w, '') AS joined, {_TOKENS.format("translate(coalesce(name, ''), 'æÆ', 'aA')")} AS w2 FROM i2),
+i4 AS (SELECT *, len(w) AS n, len(list_intersect(list_distinct(w), said)) AS shared, joined <> '' AND contains({_COMPACT.format("coalesce(title, '')")}, joined) AS whole, len(w) > 0 AND (head = joined OR head = {_COMPACT.format("coalesce(name, '')")}) AS exact, coalesce(len(w) > 0 AND contains(regexp_replace(host, '[^a-z0-9]', '', 'g'), array_to_string(w[1:2], '')), false) AS inhost,
+  {_ON.format("mail")} AS bymail, {_ON.format("own")} AS bysite, len(list_filter(tw, lambda x: length(x) >= 4 AND contains(root, x))) > 0 AS brand,
+  CASE WHEN root <> '' AND array_to_string(list_filter(w, lambda x: contains(root, x)), '') = root THEN list_filter(w, lambda x: NOT contains(root, x)) WHEN root <> '' AND array_to_string(list_filter(w2, lambda x: contains(root, x)), '') = root THEN list_filter(w2, lambda x: NOT contains(root, x)) ELSE [] END AS rest,
+  list_contains(nums, num) AS mine, len(list_filter(nums, lambda x: x <> num)) > 0 AS rival, length(tel) >= 8 AND contains(regexp_replace(plain, '[^0-9]', '', 'g'), right(tel, 8)) AS phoned, length(st) >= 6 AND contains(flat, st) AS street_said, coalesce(regexp_matches(code, '^[0-9]{{4}}$') AND contains(body, code), false) AS coded, pl <> '' AND contains(flat, pl) AS placed,
+  coalesce(regexp_matches(title, '{identity.ERROR_WORDS}'), false) AS err, coalesce(regexp_matches(title, '{identity.PARKED_WORDS}'), false) AS parked, length(body) >= 100 AS big FROM i3),
+i5 AS (SELECT *, len(list_filter(rest, lambda x: list_contains({_LIST(names.BRANCHES)}, x) OR list_contains({_TOKENS.format("coalesce(municipality, '')")}, x))) > 0 AS branch, shared / greatest(n, 1) AS ratio, street_said OR (coded AND placed) AS strong FROM i4)"""
+_SCORES = """CASE WHEN err THEN 0.1 WHEN parked THEN 0.1 WHEN mine AND NOT rival THEN 1.0 WHEN rival AND NOT mine THEN 0.2 WHEN bysite AND bymail AND NOT rival THEN 0.92 WHEN NOT bysite AND NOT bymail AND inhost AND shared = 0 THEN 0.85
+  WHEN exact AND (bysite OR bymail OR inhost) AND (n >= 2 OR big) THEN 0.95 WHEN exact THEN 0.85 WHEN (ratio >= 0.75 AND strong) OR (phoned AND shared >= 1) THEN 0.95 WHEN bymail AND shared >= 1 THEN 0.95 WHEN bysite AND brand AND big THEN 0.9 WHEN bysite AND branch AND big THEN 0.9
+  WHEN whole AND placed THEN 0.95 WHEN whole AND inhost AND big THEN 0.92 WHEN whole THEN 0.85 WHEN ratio >= 0.75 AND shared >= 2 AND placed THEN 0.9 WHEN ratio >= 0.75 AND shared >= 2 THEN 0.85 WHEN ratio >= 0.5 AND shared >= 2 THEN 0.65 ELSE 0.3 END"""
+
+
+@query(f"WITH {_IDENTITY} SELECT fetch_id, organisation_number, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.9 THEN 'exact' WHEN score >= 0.8 THEN 'review' ELSE 'uncertain' END AS status FROM (SELECT fetch_id, organisation_number, {_SCORES} AS score FROM i5)")
+def identity_rules(spark, folder):
+    """Each fetched page against the company it was fetched for: features, then the first rule that holds."""
+    pages = load(spark, folder, "fetch_results").where("status = 200 and body is not null").select("fetch_id", "organisation_number", "url", "body").distinct()
+    title = extract.title_of(F.col("body"))
+    companies = _registry(spark, folder, "name", "email", "municipality", "website", "phone", "business_address").select("organisation_number", "name", "email", "municipality", "website", "phone", F.col("business_address.adresse").alias("street"), F.col("business_address.postnummer").alias("code"))
+    joined = pages.withColumn("title", title).join(companies, "organisation_number")
+    features = identity.with_features(joined, "name", "organisation_number", "email", "municipality", "url", "title", "body", "website", "phone", "street", "code")
+    return identity.assess(features).select("fetch_id", "organisation_number", "score", "status")
