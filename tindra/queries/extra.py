@@ -170,8 +170,8 @@ _ROOT0 = "regexp_replace(coalesce(CASE WHEN len(lab) >= sz THEN lab[len(lab) - s
 _ON = "coalesce({0} <> '' AND (host = {0} OR ends_with(host, '.' || {0})), false)"
 _IDENTITY = f"""{_REGISTRY}, i0 AS (SELECT DISTINCT fetch_id, organisation_number, url, body, regexp_replace(regexp_replace(body, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g') AS b FROM fetch_results WHERE status = 200 AND body IS NOT NULL),
 i1 AS (SELECT i0.*, {_ELEMENT} AS title, reg.name, reg.email, reg.municipality, reg.website, reg.phone, reg.business_address.adresse AS street, reg.business_address.postnummer AS code, {_HOST.format("url")} AS host FROM i0 JOIN reg USING (organisation_number)),
-i2 AS (SELECT *, {_TOKENS.format("coalesce(name, '')")} AS w, {_TOKENS.format("concat_ws(' ', title, b)")} AS said, {_TOKENS.format("coalesce(title, '')")} AS tw, coalesce(lower(regexp_extract(email, '@([^@\s>]+)$', 1)), '') AS mail, {_HOST.format("website")} AS own, string_split(host, '.') AS lab,
-  CASE WHEN regexp_matches(host, '(^|\.)({"|".join(x.replace(".", "[.]") for x in names.LONG_SUFFIXES)})$') THEN 3 ELSE 2 END AS sz, regexp_replace(regexp_replace(body, '([0-9])[ .]([0-9]{{3}})', '\1\2', 'g'), '([0-9])[ .]([0-9]{{3}})', '\1\2', 'g') AS plain, {_COMPACT.format("concat_ws(' ', title, body)")} AS flat, {_COMPACT.format("regexp_replace(coalesce(title, ''), '\s[|»–-]\s.*$', '')")} AS head,
+i2 AS (SELECT *, {_TOKENS.format("coalesce(name, '')")} AS w, {_TOKENS.format("concat_ws(' ', title, b)")} AS said, {_TOKENS.format("coalesce(title, '')")} AS tw, coalesce(lower(regexp_extract(email, '@([^@\\s>]+)$', 1)), '') AS mail, {_HOST.format("website")} AS own, string_split(host, '.') AS lab,
+  CASE WHEN regexp_matches(host, '(^|\\.)({"|".join(x.replace(".", "[.]") for x in names.LONG_SUFFIXES)})$') THEN 3 ELSE 2 END AS sz, regexp_replace(regexp_replace(body, '([0-9])[ .]([0-9]{{3}})', '\\1\\2', 'g'), '([0-9])[ .]([0-9]{{3}})', '\\1\\2', 'g') AS plain, {_COMPACT.format("concat_ws(' ', title, body)")} AS flat, {_COMPACT.format("regexp_replace(coalesce(title, ''), '\\s[|»–-]\\s.*$', '')")} AS head,
   regexp_replace(coalesce(organisation_number, ''), '[^0-9]', '', 'g') AS num, regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g') AS tel, {_COMPACT.format("coalesce(street, '')")} AS st, {_COMPACT.format("coalesce(municipality, '')")} AS pl FROM i1),
 i3 AS (SELECT *, CASE WHEN length({_ROOT0}) < 3 OR list_contains({_LIST(names.HOSTING)}, {_ROOT0}) THEN '' ELSE {_ROOT0} END AS root, list_filter(regexp_extract_all(plain, '[0-9]+'), lambda x: length(x) = 9) AS nums, array_to_string(w, '') AS joined, {_TOKENS.format("translate(coalesce(name, ''), 'æÆ', 'aA')")} AS w2 FROM i2),
 i4 AS (SELECT *, len(w) AS n, len(list_intersect(list_distinct(w), said)) AS shared, joined <> '' AND contains({_COMPACT.format("coalesce(title, '')")}, joined) AS whole, len(w) > 0 AND (head = joined OR head = {_COMPACT.format("coalesce(name, '')")}) AS exact, coalesce(len(w) > 0 AND contains(regexp_replace(host, '[^a-z0-9]', '', 'g'), array_to_string(w[1:2], '')), false) AS inhost,
