@@ -18,7 +18,7 @@ def _text(c: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(c, "(?s)" + _CDATA, "$1"), "(?s)<[^>]*>", " ")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")  # no-break spaces around it count as space
 
 
 def _element(block: Column, name: str) -> Column:
