@@ -150,3 +150,36 @@ def test_request_lists(spark, tmp_path):
     (tmp_path / "e.txt").write_text("12\n")
     with pytest.raises(ValueError):
         bulk.read_requests(spark, str(tmp_path / "e.txt"))
+
+
+def test_titles_and_kinds(spark):
+    from tindra.functions import text
+
+    said = ("Publisert: 01.02.2024 kl. 10:00 | Ny hall på Åsen", "Nyheter: Vi åpner", "Kontakt oss", "Vi vant 13.04.2021 - Publisert av Kari", "– Sterkt år –", "x", None, "")
+    assert one(spark, text.headline(F.col("v")), *said) == ["Ny hall på Åsen", "Vi åpner", None, "Vi vant", "Sterkt år", None, None, None]
+    assert one(spark, text.posting_title(F.col("v")), "• Montør  søkes •", "Ledige stillinger", "ab", None, "x" * 300) == ["Montør søkes", None, None, None, "x" * 200]
+    assert one(spark, text.activity_kind(F.col("v"), F.col("b")), ("Pressemelding: ny avtale", None), ("Ny avtale", "lanserer"), ("Pris for service", None), ("Priset", None), (None, None), schema="v string, b string") == ["press_release", "partnership", "award", "company_update", "company_update"]
+
+
+def test_additions_and_keys(spark):
+    from tindra.operators import aggregates, history, synthesis
+
+    before = spark.createDataFrame([("a", "u1"), ("b", "u1")], "k string, u string")
+    after = spark.createDataFrame([("a", "u1"), ("a", "u2"), ("a", "u2"), ("c", "u3")], "k string, u string")
+    assert [tuple(r) for r in history.added(before, after, before.select("k"), ["k"], ["u"]).collect()] == [("a", "u2")]
+    claims = spark.createDataFrame([("a", 1, {"x": "1", "y": None, "retrieved_at": "t1"}), ("a", 2, {"retrieved_at": "t2", "x": "1"}), ("a", 3, {"x": "2"}), ("b", 1, None)], "k string, d int, c map<string,string>")
+    got = {(r.k, r.d): r.profile_hash for r in history.keyed(claims, "k", "d", "c").collect()}
+    assert got["a", 1] == got["a", 2] != got["a", 3] and len(got["b", 1]) == 64
+    trends = spark.createDataFrame([("a", 12.0), ("b", -10.0), ("c", 3.0), ("d", None)], "organisation_number string, change_pct double")
+    counts = spark.createDataFrame([("a", 1), ("b", 2)], "organisation_number string, n int")
+    said = sorted((r[0], r.statement) for r in synthesis.inferences(trends, counts, counts).collect())
+    assert said == [("a", "growing"), ("a", "recruiting"), ("b", "contracting"), ("b", "publishing"), ("b", "recruiting")]
+    assert sorted(tuple(r) for r in aggregates.coverage({"x": counts, "y": counts.limit(0)}, "organisation_number").collect()) == [("x", 2, 2), ("y", 0, 0)]
+
+
+def test_clashing_column_of_turns(spark):
+    from tindra.operators import ranking
+
+    df = spark.createDataFrame([("a", "s", 1, 1), ("a", "t", 2, 2)], "k string, section string, place int, day int")
+    got = ranking.round_robin(df.drop("place"), "k", "section", [F.desc("day")], "day", 5)
+    assert [(r.section, r.place) for r in got.orderBy("place").collect()] == [("t", 1), ("s", 2)]
